@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name -> module of this subpackage
 MODULES = {
+    "op2_token_counts": "transducer",
     "op6_bpe": "bpe",
     "op10_chat_format": "chat",
 }
