@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op2_token_counts": "transducer",
     "op6_bpe": "bpe",
+    "op7_decontaminate": "decontaminate",
     "op10_chat_format": "chat",
 }
 
