@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name -> module of this subpackage
 MODULES = {
+    "op1_jaccard_join": "jaccard",
     "op2_token_counts": "transducer",
     "op6_bpe": "bpe",
     "op7_decontaminate": "decontaminate",
