@@ -10,6 +10,7 @@ MODULES = {
     "op2_token_counts": "transducer",
     "op6_bpe": "bpe",
     "op7_decontaminate": "decontaminate",
+    "op9_embedding_dedup": "vectors",
     "op10_chat_format": "chat",
 }
 
