@@ -9,6 +9,7 @@ MODULES = {
     "op1_jaccard_join": "jaccard",
     "op2_token_counts": "transducer",
     "op6_bpe": "bpe",
+    "op3_line_dedup": "lines",
     "op7_decontaminate": "decontaminate",
     "op9_embedding_dedup": "vectors",
     "op10_chat_format": "chat",
