@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_jaccard_join": "jaccard",
     "op2_token_counts": "transducer",
+    "op4_language_id": "language",
     "op5_pii": "pii",
     "op6_bpe": "bpe",
     "op3_line_dedup": "lines",
