@@ -140,13 +140,15 @@ class Words:
         self.end = np.sort(np.concatenate([np.flatnonzero(edge == -1), cuts]))
         self.rows = np.searchsorted(self.start, off)  # offsets of each row's words
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, head: int | None = None) -> np.ndarray:
+        """Hashes of all words, or of the first bytes (at most head) of each."""
+        end = self.end if head is None else np.minimum(self.end, self.start + head)
         with np.errstate(over="ignore"):
             n = len(self.data)
             sums = np.zeros(n + 1, np.uint64)
             np.cumsum(_TABLE[self.data] * _powers("r", _R, n), dtype=np.uint64, out=sums[1:])
             inverse = _powers("i", _RINV, n + 1)
-            return mix((sums[self.end] - sums[self.start]) * inverse[self.start])
+            return mix((sums[end] - sums[self.start]) * inverse[self.start])
 
 
 def grams(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

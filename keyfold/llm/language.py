@@ -192,14 +192,15 @@ def fit(documents: DataFrame, use: Column | None = None) -> Model:
     return Model(fams, {k: [g for g in langs if family(g) == k] for k in fams}, pairs, weights.astype(np.float32), w[-1] - centre @ weights)
 
 
-def predict(documents: DataFrame, model: Model) -> DataFrame:
-    """Rows (doc_id, lang_pred, score) of all documents."""
+def predict(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """Rows (doc_id, lang_pred, score) of all documents; keep: the columns that stay instead of doc_id."""
+    keep = keep or ["doc_id"]
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = held.value
         for batch in batches:
-            for first, n, data, off in steps(batch.column(1)):
+            for first, n, data, off in steps(batch.column(len(keep))):
                 bins, cut, letters = ngrams(data, off)
                 size = np.diff(cut)
                 margins = np.tile(m.bias, (n, 1))
@@ -209,10 +210,11 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
                         margins[some, k] += np.add.reduceat(m.weights[:, k][bins], cut[some], dtype=np.float64) / size[some]
                 names, score = m.decide(margins)
                 names = [x if l else "und" for x, l in zip(names, letters, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(names, pa.string()), pa.array(np.where([x == "und" for x in names], 0.0, score))], ["doc_id", "lang_pred", "score"])
+                kept = [batch.column(k).slice(first, n) for k in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(np.where([x == "und" for x in names], 0.0, score))], [*keep, "lang_pred", "score"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    fields = "".join(f"`{c}` {documents.schema[c].dataType.simpleString()}, " for c in keep)
+    return documents.select(*keep, F.col("text").alias("text to score")).mapInArrow(run, f"{fields}lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

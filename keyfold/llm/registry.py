@@ -13,6 +13,7 @@ MODULES = {
     "op6_bpe": "bpe",
     "op3_line_dedup": "lines",
     "op7_decontaminate": "decontaminate",
+    "op8_toxicity": "toxicity",
     "op9_embedding_dedup": "vectors",
     "op10_chat_format": "chat",
 }
