@@ -9,7 +9,9 @@ its docstring says, and never an error (ANSI mode included).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,6 +55,31 @@ def column(name: str, data_type: str) -> Value:
     return Value(F.col(name).cast({"long": "bigint", "double": "double"}.get(kind, data_type)), kind)
 
 
+def bind(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a column that is evaluated once, however often f uses it; keeps nested expressions small."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def once(f):
+    """For functions of one value: a variant argument is evaluated once."""
+
+    @wraps(f)
+    def run(x: Value, *more):
+        if x.kind != "variant":
+            return f(x, *more)
+        kind = []
+
+        def inner(c: Column) -> Column:
+            out = f(Value(c, "variant"), *more)
+            kind.append(out.kind if isinstance(out, Value) else None)
+            return out.col if isinstance(out, Value) else out
+
+        col = bind(x.col, inner)
+        return Value(col, kind[0]) if kind[0] else col
+
+    return run
+
+
 # ------------------------------------------------------------------ variants
 
 
@@ -63,7 +90,7 @@ def json_type(v: Column) -> Column:
 
 def present(v: Column) -> Column:
     """A variant without the JSON null, which counts as missing."""
-    return F.when(F.is_variant_null(v), F.lit(None)).otherwise(v)
+    return bind(v, lambda x: F.when(~F.is_variant_null(x), x))
 
 
 def path(v: Column, dotted: str) -> Value:
@@ -76,6 +103,7 @@ def _is_number(v: Column) -> Column:
     return json_type(v).isin("BIGINT", "DOUBLE", "DECIMAL", "INT", "SMALLINT", "TINYINT", "FLOAT")
 
 
+@once
 def strict_text(x: Value) -> Column:
     """The text if the value is a string, else null (numbers do not count)."""
     if x.kind == "variant":
@@ -84,10 +112,10 @@ def strict_text(x: Value) -> Column:
 
 
 def _number_text(s: Column) -> Column:
-    t = trim_white(s)
-    return F.when(t.rlike(NUMBER_TEXT), t.try_cast("double"))
+    return bind(trim_white(s), lambda t: F.when(t.rlike(NUMBER_TEXT), t.try_cast("double")))
 
 
+@once
 def as_double(x: Value) -> Column:
     """Numeric view for comparisons: numbers, and finite numeric strings; else null."""
     if x.kind == "variant":
@@ -97,11 +125,16 @@ def as_double(x: Value) -> Column:
     return _number_text(x.col) if x.kind == "string" else F.lit(None).cast("double")
 
 
-def clamp(d: Column) -> Column:
+def clamp(x: Column) -> Column:
     """A double as a 64-bit integer: cut off, saturating, NaN as 0."""
+    return bind(x, _clamped)
+
+
+def _clamped(d: Column) -> Column:
     return F.when(F.isnan(d), F.lit(0)).when(d >= float(MOST), F.lit(MOST)).when(d <= float(LEAST), F.lit(LEAST)).otherwise(d.try_cast("bigint"))
 
 
+@once
 def as_long(x: Value) -> Column:
     """Integer view: integers, floats cut off, numeric strings; else null."""
     if x.kind == "long":
@@ -109,8 +142,7 @@ def as_long(x: Value) -> Column:
     if x.kind == "double":
         return clamp(x.col)
     if x.kind == "string":
-        t = trim_white(x.col)
-        return F.coalesce(t.try_cast("bigint"), clamp(_number_text(x.col)))
+        return bind(trim_white(x.col), lambda t: F.coalesce(t.try_cast("bigint"), clamp(_number_text(t))))
     if x.kind == "variant":
         exact = F.when(json_type(x.col) == "BIGINT", F.try_variant_get(x.col, "$", "bigint"))
         return F.coalesce(exact, F.when(_is_number(x.col), clamp(F.try_variant_get(x.col, "$", "double"))), as_long(Value(strict_text(x), "string")))
@@ -120,6 +152,7 @@ def as_long(x: Value) -> Column:
 # ------------------------------------------------------------------ predicates
 
 
+@once
 def truthy(x: Value) -> Column:
     """False for null, false, 0 and the empty string, else true ("0", [] and {} too)."""
     if x.kind == "bool":
@@ -164,6 +197,7 @@ def unequal(a: Value, b: Value) -> Value:
     return Value(~equal(a, b).col, "bool")
 
 
+@once
 def _canonical(x: Value) -> Column:
     """JSON text that equal values share; whole numbers print alike as integer and float."""
     if x.kind == "variant":
@@ -213,10 +247,12 @@ def lower(x: Value) -> Value:
     return Value(F.coalesce(F.translate(strict_text(x), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("")), "string")
 
 
+@once
 def meaningful(x: Value) -> Value:
     """The value unless it is null, blank, 'unknown' in any case or 'null'."""
-    text = trim_white(strict_text(x))
-    empty = (text == "") | (lower(Value(text, "string")).col == UNKNOWN) | (text == NULL_TEXT)
+    if x.kind not in ("string", "variant"):
+        return x
+    empty = bind(trim_white(strict_text(x)), lambda t: (t == "") | (lower(Value(t, "string")).col == UNKNOWN) | (t == NULL_TEXT))
     return Value(F.when(~F.coalesce(empty, F.lit(False)), present(x.col) if x.kind == "variant" else x.col), x.kind)
 
 
@@ -235,6 +271,7 @@ def bucket(x: Value, width: Value) -> Value:
     return Value(F.when(w > 0, floored).otherwise(v), "long")
 
 
+@once
 def round_even(x: Value) -> Value:
     """Half to even, saturating; numeric strings count; anything else is 0."""
     if x.kind == "long":
@@ -250,6 +287,7 @@ def concat(*parts: Value) -> Value:
     return Value(F.concat(*(F.coalesce(as_text(p), F.lit("")) for p in parts)), "string")
 
 
+@once
 def as_text(x: Value) -> Column:
     """A scalar's text: strings, numbers and booleans."""
     if x.kind == "variant":
@@ -258,6 +296,7 @@ def as_text(x: Value) -> Column:
     return x.col.cast("string")
 
 
+@once
 def key_text(x: Value) -> Column:
     """A key: a meaningful string as it is, or a number's text; else null."""
     if x.kind == "variant":
@@ -278,7 +317,10 @@ def parse_json(x: Value) -> Value:
 
 
 def _iso_nanos(s: Column) -> Column:
-    t = trim_white(s)
+    return bind(trim_white(s), _trimmed_nanos)
+
+
+def _trimmed_nanos(t: Column) -> Column:
     zoned = t.rlike(RFC3339)
     whole = F.regexp_replace(F.upper(t), r"\.\d+", "")
     local = t.rlike(LOCAL_ISO)
@@ -288,6 +330,7 @@ def _iso_nanos(s: Column) -> Column:
     return F.try_add(nanos, F.when(zoned, F.coalesce(fraction, F.lit(0))).otherwise(F.lit(0)))
 
 
+@once
 def parse_time(x: Value, unit: str | None = None) -> Value:
     """Epoch nanoseconds.
 
