@@ -1,11 +1,14 @@
 """Embedding near-duplicates by p-stable hashing for the Euclidean distance.
 
-Vectors of one label (and length) are normalised, projected on HASHES Gaussian
-directions for each of TABLES tables, shifted, and cut into steps of WIDTH; the
-HASHES step numbers together name a bucket. Vectors that share a bucket are compared
-exactly, by cosine in double precision. A cosine of 0.98 is a distance of 0.2, for
-which one table finds a pair with probability 0.25 and all tables together with
-0.999; closer pairs are surer, and nothing below the threshold is ever linked.
+Vectors of one label (and length) are normalised, projected on Gaussian directions
+for each of several tables, shifted, and cut into steps of WIDTH; the step numbers
+of a table together name a bucket. Vectors that share a bucket are compared exactly, by
+cosine in double precision, so that nothing below the threshold is ever linked. A
+pair at distance d falls into the same step with a probability known in closed
+form (`same_step`). From it `plan` takes the directions of a table, so that chance meetings
+of far vectors stay at CHANCE for a vector over all tables however many rows there
+are, and then the tables, so that a pair right at the threshold is missed with a probability
+of at most MISSED; closer pairs are surer.
 
 Equal vectors are one vector with a count until the end. A bucket of more than BLOCK
 vectors is cut into blocks that meet pairwise, each pair of blocks in a task of its
@@ -20,6 +23,8 @@ are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,7 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import components, mix, save, table
 
-TABLES, HASHES, WIDTH, SEED = 28, 8, 1.0, 7
+WIDTH, SEED = 1.0, 7
+#: Chance meetings for a vector over all tables, about, and the most that a pair at the threshold is missed.
+CHANCE, MISSED = 0.1, 0.001
 #: Distinct vectors of a bucket that one side of a block pair holds at most (in the mean).
 BLOCK = 1024
 
@@ -38,21 +45,39 @@ def usable() -> Column:
     return F.col("label").isNotNull() & (F.size("embedding") > 0) & clean & F.exists("embedding", lambda x: x != 0)
 
 
-def buckets(vectors: np.ndarray) -> np.ndarray:
+def same_step(distance: float) -> float:
+    """Probability that two vectors at a distance fall into one step of a direction."""
+    r = WIDTH / distance
+    return math.erf(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
+
+
+def plan(rows: int, threshold: float) -> tuple[int, int]:
+    """Directions of a table and number of tables for so many distinct vectors in a label."""
+    near, far = same_step(math.sqrt(2 - 2 * threshold)), same_step(math.sqrt(2))
+    hashes, tables = 4, 1
+    while True:
+        tables = math.ceil(math.log(MISSED) / math.log(1 - near**hashes))
+        if rows * tables * far**hashes <= CHANCE:
+            return hashes, tables
+        hashes += 1
+
+
+def buckets(vectors: np.ndarray, hashes: int, tables: int) -> np.ndarray:
     """Bucket of each vector in each table, as 64-bit names."""
     rng = np.random.default_rng([SEED, vectors.shape[1]])
-    directions = rng.standard_normal((vectors.shape[1], TABLES * HASHES))
-    shift = rng.uniform(0, WIDTH, TABLES * HASHES)
-    unit = vectors / np.linalg.norm(vectors / np.abs(vectors).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(vectors).max(1, keepdims=True)
-    step = np.floor((unit @ directions + shift) / WIDTH).astype(np.int64).view(np.uint64).reshape(len(vectors), TABLES, HASHES)
+    directions = rng.standard_normal((vectors.shape[1], tables * hashes))
+    shift = rng.uniform(0, WIDTH, tables * hashes)
+    unit = vectors / np.abs(vectors).max(1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    step = np.floor((unit @ directions + shift) / WIDTH).astype(np.int64).view(np.uint64).reshape(len(vectors), tables, hashes)
     out = np.zeros(step.shape[:2], np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(HASHES):
+        for k in range(hashes):
             out = mix(out * np.uint64(0x9E3779B97F4A7C15) + step[:, :, k], 1)
     return out.view(np.int64)
 
 
-def hashed(distinct: DataFrame) -> DataFrame:
+def hashed(distinct: DataFrame, hashes: int, tables: int) -> DataFrame:
     """Adds the bucket names of all tables to rows (rep, many, label, embedding)."""
 
     def run(batches):
@@ -61,50 +86,61 @@ def hashed(distinct: DataFrame) -> DataFrame:
             size = np.diff(col.offsets.to_numpy())
             flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             cut = np.concatenate([[0], np.cumsum(size)])
-            names = np.zeros((len(size), TABLES), np.int64)
+            names = np.zeros((len(size), tables), np.int64)
             for n in np.unique(size):
                 rows = np.flatnonzero(size == n)
-                names[rows] = buckets(flat[cut[rows][:, None] + np.arange(n)])
-            held = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * TABLES), pa.array(names.ravel()))
+                names[rows] = buckets(flat[cut[rows][:, None] + np.arange(n)], hashes, tables)
+            held = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * tables), pa.array(names.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, held], ["rep", "many", "label", "embedding", "names"])
 
     fields = ", ".join(f"{c} {distinct.schema[c].dataType.simpleString()}" for c in ("rep", "many", "label", "embedding"))
     return distinct.select("rep", "many", "label", "embedding").mapInArrow(run, f"{fields}, names array<bigint>")
 
 
+#: What names a pair of blocks.
+KEY = ["label", "dim", "t", "name", "i", "j"]
+#: Rows of block pairs that one task group holds, about.
+CELL = 4096
+
+
 def compare(threshold: float):
-    """One block pair: for each vector the linked ones it meets here first, and one link."""
+    """Block pairs: for each vector the linked ones it meets there first, and the least vector of its component there."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep", ignore_index=True)
-        t, i, j = (int(pdf[c].iloc[0]) for c in ("t", "i", "j"))
+    def meet(pdf: pd.DataFrame, t: int, apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = np.array([*pdf["embedding"]], np.float64)
         x /= np.abs(x).max(1, keepdims=True)
         norm = np.sqrt((x * x).sum(1))
         close = np.triu((x @ x.T) / (norm[:, None] * norm[None, :]) >= threshold, 1)
-        if i != j:
+        if apart:
             own = pdf["own"].to_numpy()
             close &= own[:, None] != own[None, :]
         a, b = np.nonzero(close)
+        if not len(a):
+            return a, a, a
         names = np.array([*pdf["names"]], np.int64)
-        ok = np.ones(len(a), bool)
         for k in range(t):
-            ok &= names[a, k] != names[b, k]
-        a, b = a[ok], b[ok]
+            new = names[a, k] != names[b, k]
+            a, b = a[new], b[new]
         many, rep = pdf["many"].to_numpy(), pdf["rep"].to_numpy()
         found = np.bincount(a, many[b], len(pdf)) + np.bincount(b, many[a], len(pdf))
-
-        parent = np.arange(len(pdf))
-        for p, q in zip(a, b, strict=True):
-            while parent[p] != p:
-                parent[p] = p = parent[parent[p]]
-            while parent[q] != q:
-                parent[q] = q = parent[parent[q]]
-            parent[max(p, q)] = min(p, q)
-        for k in range(len(parent)):
-            parent[k] = parent[parent[k]]
+        least = np.arange(len(pdf))
+        while True:
+            new = least.copy()
+            np.minimum.at(new, a, least[b])
+            np.minimum.at(new, b, least[a])
+            new = new[new]
+            if (new == least).all():
+                break
+            least = new
         at = np.flatnonzero(found > 0)
-        return pd.DataFrame({"a": rep[at], "b": rep[parent[at]], "n": found[at].astype(np.int64)})
+        return rep[at], rep[least[at]], found[at].astype(np.int64)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*KEY, "rep"], ignore_index=True)
+        key = pdf[KEY].to_numpy(np.int64)
+        cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1), True])
+        parts = [meet(pdf.iloc[a:b], int(key[a, 2]), key[a, 4] != key[a, 5]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return pd.DataFrame({c: np.concatenate([p[k] for p in parts]).astype(np.int64) for k, c in enumerate("abn")})
 
     return run
 
@@ -114,15 +150,20 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame
     rows = embeddings.select("vec_id", "label", "embedding")
     good = rows.where(usable() & F.col("vec_id").isNotNull())
     distinct = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many"))
-    held = save(hashed(distinct))
+    distinct = save(distinct)
+    most = distinct.groupBy("label").count().agg(F.max("count")).first()[0] or 1
+    held = save(hashed(distinct, *plan(most, threshold)))
     posted = held.select("rep", "label", F.size("embedding").alias("dim"), F.posexplode("names").alias("t", "name"))
-    key = ["label", "dim", "t", "name"]
+    key = KEY[:4]
     full = posted.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("n_blocks", F.ceil(F.col("size") / BLOCK))
+    full = save(full)
+    cells = (full.agg(F.sum(F.col("size") * F.col("n_blocks"))).first()[0] or 0) // CELL + 1
     placed = posted.join(full, key).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n_blocks")))
     facing = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)))
     facing = facing.select(*key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep")
+    facing = facing.withColumn("cell", F.pmod(F.xxhash64(*KEY), F.lit(int(cells))))
     facing = facing.join(held.select("rep", "many", "embedding", "names"), "rep")
-    found = save(facing.groupBy(*key, "i", "j").applyInPandas(compare(threshold), "a bigint, b bigint, n bigint"))
+    found = save(facing.groupBy("cell").applyInPandas(compare(threshold), "a bigint, b bigint, n bigint"))
     linked = found.groupBy("a").agg(F.sum("n").alias("others"))
     parts = components(found.select("a", "b"))
     known = held.select("rep", "many", "label", "embedding").join(linked, F.col("rep") == F.col("a"), "left").join(parts, F.col("rep") == F.col("node"), "left").select(
