@@ -30,8 +30,8 @@ from .bpe import LETTER, classes, code_points
 from .common import steps, table
 
 #: Rows of each language that the machines are fitted on, about.
-SAMPLE = 1000
-BITS, ORDERS = 12, 4
+SAMPLE = 800
+BITS, ORDERS = 11, 4
 #: Language families by ISO 639-1 code; any other language is a family of its own.
 FAMILIES = {
     "germanic": ["de", "en", "nl", "sv", "da", "no", "is", "af"],
@@ -111,16 +111,14 @@ def histograms(documents: DataFrame) -> DataFrame:
 
 
 def fit_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float = 1e-3, rounds: int = 200) -> np.ndarray:
-    """A linear machine (squared hinge, L2) by accelerated gradient steps; y is -1 or 1; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    weight = weight / weight.sum()
-    step = 1 / (2 * float((weight * (x * x).sum(1)).sum()) + strength)
-    w = v = np.zeros(x.shape[1])
+    """A linear machine (squared hinge, L2) by accelerated gradient steps; y is -1 or 1; the last column of x is all ones."""
+    y, weight = y.astype(np.float32), (weight / weight.sum()).astype(np.float32)
+    step = np.float32(1 / (2 * float(weight @ np.einsum("ij,ij->i", x, x)) + strength))
+    w = v = np.zeros(x.shape[1], np.float32)
     for k in range(rounds):
-        gap = np.maximum(0, 1 - y * (x @ v))
-        gradient = -2 * ((weight * gap * y) @ x) + strength * v
-        new = v - step * gradient
-        v, w = new + k / (k + 3) * (new - w), new
+        gap = np.maximum(np.float32(0), 1 - y * (x @ v))
+        new = v - step * (-2 * ((weight * gap * y) @ x) + np.float32(strength) * v)
+        v, w = new + np.float32(k / (k + 3)) * (new - w), new
     return w
 
 
@@ -172,17 +170,21 @@ def fit(documents: DataFrame, use: Column | None = None) -> Model:
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, int(min(1.0, SAMPLE / n) * 1_000_000)).otherwise(share)
     sample = histograms(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)).toPandas()
-    freq, lang = np.array([*sample["freq"]], np.float32).reshape(-1, 1 << BITS), sample["lang"].to_numpy()
-    scale = 1 / (freq.std(0) + 1e-4)
-    scale = (scale / np.sqrt((freq.std(0) * scale > 0).sum())).astype(np.float32)
-    centre = freq.mean(0)
-    x = (freq - centre) * scale
+    lang, rows_ = sample["lang"].to_numpy(), sample.pop("freq").to_numpy()
+    x = np.ones((len(rows_), (1 << BITS) + 1), np.float32)
+    for k, row in enumerate(rows_):
+        x[k, :-1] = row
+    del sample, rows_
+    centre, spread = x[:, :-1].mean(0), x[:, :-1].std(0)
+    scale = (1 / (spread + 1e-4) / np.sqrt(max(1, (spread > 0).sum()))).astype(np.float32)
+    x[:, :-1] -= centre
+    x[:, :-1] *= scale
     langs = sorted(set(lang))
     fams = sorted({family(k) for k in langs})
     of = np.array([family(k) for k in lang])
     share_of = {k: 1 / (lang == k).sum() for k in langs}
     even = np.array([share_of[k] for k in lang])
-    machines = [fit_machine(x, np.where(of == k, 1.0, -1.0), even) for k in fams] if len(fams) > 1 else [np.zeros(x.shape[1] + 1)]
+    machines = [fit_machine(x, np.where(of == k, 1.0, -1.0), even) for k in fams] if len(fams) > 1 else [np.zeros(x.shape[1])]
     pairs = [(a, b) for a, b in combinations(langs, 2) if family(a) == family(b)]
     for a, b in pairs:
         here = (lang == a) | (lang == b)
