@@ -5,6 +5,8 @@ Each entry of QUERIES takes (spark, sf_dir); ORACLES has the SQL by the same nam
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -411,3 +413,84 @@ def customer_order_rows(spark, sf_dir):
     out = transition.render(fold.merge(fold.elided(local, schema).where("false"), local, schema), stream, 0)
     field = lambda n: F.get_json_object("payload", f"$.{n}")
     return out.select("session_key", "row_id", field("cents").cast("bigint").alias("cents"), field("last_priority").alias("last_priority"), field("n_orders").cast("bigint").alias("n_orders"))
+
+
+# ------------------------------------------------------------------ raw events, batch by batch
+
+
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON texts; every thousandth is cut short."""
+    from keyfold.sources.events import as_raw
+
+    rows = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) * 1000)
+    text = F.to_json(F.struct(F.col("user_id").cast("string").alias("user"), "event_type", F.col("at").alias("nanos"), "event_id"))
+    return as_raw(rows, "events", F.when(F.col("event_id") % 1000 == 7, F.substring(text, 1, 20)).otherwise(text), F.col("event_id"))
+
+
+RAW = Schema("user", 1, "user_id", "{user}", {
+    "last": LatestBy(comparator=lambda r: r["nanos"], payload=lambda r: r["event_id"]),
+    "by_type": GroupedMap(key=lambda r: r["event_type"], value=LatestBy(comparator=lambda r: r["nanos"], payload=lambda r: r["event_id"])),
+    "n": Counter(),
+}, ACCEPT)
+RAW_STREAMS = Transformer((
+    Stream("raw-users", "users", columns={"last": lambda s: s.value("last.payload"), "n": lambda s: s.value("n")}),
+    Stream("raw-types", "types", explode="by_type", each={"event": lambda s: s.each("payload")}),
+))
+WELL = EV + ", ok AS (SELECT * FROM ad WHERE event_id % 1000 <> 7) "
+
+
+@query("SELECT CASE WHEN event_id % 1000 = 7 THEN 'malformed' WHEN event_type IN ('click', 'view', 'purchase') THEN 'admitted' ELSE 'filtered' END AS tag, count(*) AS n FROM events GROUP BY 1")
+def raw_tags(spark, sf_dir):
+    """Admitted, filtered and malformed JSON events."""
+    return ingest.tag(ingest.parse_records(raw_events(spark, sf_dir)), RAW, "record").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'events:0:' || event_id AS key FROM events WHERE event_id % 1000 = 7")
+def dead_letters(spark, sf_dir):
+    from keyfold.sources import events as sinks
+
+    tagged = ingest.tag(ingest.parse_records(raw_events(spark, sf_dir)), RAW, "record")
+    return sinks.dead_letters(tagged.where(F.col("tag") == ingest.MALFORMED), "dead").select(F.col("key").cast("string").alias("key"))
+
+
+@query(WELL + "SELECT usr AS session_key, arg_max(event_id, (nanos, event_id)) AS last_event, count(*) AS n FROM ok GROUP BY usr")
+def raw_fold(spark, sf_dir):
+    """Fold of JSON events through VARIANT paths."""
+    rows = ingest.parse_records(raw_events(spark, sf_dir)).withColumn("seq", F.col("offset"))
+    local = fold.fold(ingest.admitted(rows, RAW, "record"), RAW, "record")
+    return fold.elided(local, RAW).select("session_key", v.as_long(v.Value(F.col("last.payload"), "variant")).alias("last_event"), "n")
+
+
+def _scratch(spark: SparkSession) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="keyfold-")
+    return f"{shared}/stream-{uuid.uuid4().hex}"
+
+
+@query(WELL + "SELECT usr AS session_key, arg_max(event_id, (nanos, event_id)) AS last_event, count(*) AS n, count(DISTINCT event_type) AS n_types FROM ok GROUP BY usr")
+def streaming_state(spark, sf_dir):
+    """The state after a Structured Streaming run over three files of events: the same as one fold of all."""
+    from keyfold.streaming.runner import Runner
+
+    at = _scratch(spark)
+    rows = raw_events(spark, sf_dir)
+    rows.repartitionByRange(3, "offset").write.parquet(f"{at}/in")
+    runner = Runner(spark, RAW, RAW_STREAMS, f"{at}/out", clock=lambda: 0.0)
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    runner.start(source).awaitTermination()
+    held = runner.state.current()
+    return held.select("session_key", v.as_long(v.Value(F.col("last.payload"), "variant")).alias("last_event"), "n", F.size("by_type").cast("bigint").alias("n_types"))
+
+
+@query(WELL + "SELECT usr AS session_key, event_type AS row_id, 1::BIGINT AS net, max(event_id) AS event FROM ok GROUP BY ALL")
+def streaming_deltas(spark, sf_dir):
+    """Signed deltas of the same run add up to one row for each entry."""
+    from keyfold.streaming.runner import Runner
+
+    at = _scratch(spark)
+    rows = raw_events(spark, sf_dir)
+    rows.repartitionByRange(3, "offset").write.parquet(f"{at}/in")
+    runner = Runner(spark, RAW, RAW_STREAMS, f"{at}/out", clock=lambda: 0.0)
+    runner.start(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")).awaitTermination()
+    found = spark.read.parquet(f"{at}/out/deltas").where("stream = 'raw-types'")
+    event = F.get_json_object("payload", "$.event").cast("bigint")
+    return found.groupBy("session_key", "row_id").agg(F.sum("sign").cast("bigint").alias("net"), F.sum(F.col("sign") * event).cast("bigint").alias("event"))
