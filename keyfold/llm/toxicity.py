@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, lists, mix, only_ids, steps, table
+from .common import Words, lists, mix, only_ids, save, steps, table
 
 #: Labelled rows that the machine is fitted on, about.
 SAMPLE = 12_000
@@ -123,27 +123,28 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", use: Colu
     share = int(min(1.0, SAMPLE / max(1, n)) * 1_000_000)
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
     sets = term_sets(only_ids(documents.select("doc_id", "text"), chosen.select("doc_id"), "doc_id"))
-    rows = sets.join(F.broadcast(chosen), "doc_id").select("terms", "y").toPandas()  # about SAMPLE rows
-    held = [np.asarray(t, np.int64) for t in rows["terms"]]
-    _, own = np.unique([hash(t.tobytes()) for t in held], return_index=True) if held else (None, np.zeros(0, np.int64))
-    held, y = [held[k] for k in own], rows["y"].to_numpy(np.float64)[own] if len(own) else np.zeros(0)
-    place = np.full(1 << BITS, -1, np.int64)
-    if not len(y) or y.min() == y.max():
-        share = float(np.clip(y.mean() if len(y) else 0, 1e-6, 1 - 1e-6))
+    sets = sets.join(F.broadcast(chosen), "doc_id").withColumn("same", F.xxhash64("terms")).dropDuplicates(["same", "y"])  # about SAMPLE rows
+    sets = save(sets.select("terms", F.col("y").cast("double").alias("y")))
+    n, n1 = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    place, n0 = np.full(1 << BITS, -1, np.int64), n - n1
+    if not n0 or not n1:
+        share = float(np.clip(n1 / max(1, n), 1e-6, 1 - 1e-6))
         return Machine(place, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, RANK)))
-    flat, row = np.concatenate(held), np.repeat(np.arange(len(held)), [len(t) for t in held])
-    pos, neg = (np.bincount(flat, c[row], 1 << BITS) for c in (y, 1 - y))
-    n1, n0 = y.sum(), (1 - y).sum()
-    both = (pos + neg) / (n1 + n0)
-    z = np.abs(pos / n1 - neg / n0) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
-    best = np.argsort(-z, kind="stable")[:TERMS]
-    best = best[(z[best] >= MIN_Z) & (pos + neg >= 3)[best]]
+    each = sets.select("y", F.explode("terms").alias("term"))
+    counts = each.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).where("n >= 3").toPandas()  # at most 2**BITS rows
+    both, pos = counts["n"].to_numpy() / n, counts["pos"].to_numpy()
+    z = np.abs(pos / n1 - (counts["n"].to_numpy() - pos) / n0) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
+    order = np.lexsort((counts["term"].to_numpy(), -z))[:TERMS]
+    best = counts["term"].to_numpy()[order[z[order] >= MIN_Z]]
     if not len(best):
         return Machine(place, float(np.log(n1 / n0)), np.zeros(0), np.zeros((0, RANK)))
+    kept = F.array_intersect("terms", F.array(*map(F.lit, best.tolist())))
+    rows = sets.select(kept.alias("terms"), "y").toPandas()
+    held, y = [np.asarray(t, np.int64) for t in rows["terms"]], rows["y"].to_numpy(np.float64)
+    flat, row = np.concatenate(held), np.repeat(np.arange(len(held)), [len(t) for t in held])
     place[best] = np.arange(len(best))
     x = np.zeros((len(held), len(best)), np.float32)
-    use_ = place[flat] >= 0
-    x[row[use_], place[flat[use_]]] = 1
+    x[row, place[flat]] = 1
     return Machine(place, *fit_machine(x, y))
 
 
