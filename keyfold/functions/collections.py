@@ -16,9 +16,13 @@ from pyspark.sql import functions as F
 Field = Callable[[Column], Column]
 
 
+def by_key(entries: Column) -> Column:
+    """Entries in key order (the comparison looks at keys only: payloads may have no order)."""
+    return F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+
+
 def sorted_entries(m: Column) -> Column:
-    """A map's entries in key order (the comparison looks at keys only: payloads may have no order)."""
-    return F.array_sort(F.map_entries(m), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+    return by_key(F.map_entries(m))
 
 
 def payloads(m: Column) -> Column:

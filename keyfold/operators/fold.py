@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyfold.functions import values as v
+from keyfold.functions.collections import by_key, sorted_entries
 
 from .ingest import Record
 from .schema import Counter, GroupedMap, LastSeen, LatestBy, Schema, WriteOnce
@@ -73,8 +74,7 @@ def _plain(schema: Schema) -> list[Column]:
 
 def entries_to_map(entries: Column) -> Column:
     """A map of collected (entry, value) structs in key order."""
-    ordered = F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
-    return F.map_from_entries(ordered)
+    return F.map_from_entries(by_key(entries))
 
 
 def _maps(each: DataFrame, names: list[str]) -> DataFrame:
@@ -114,7 +114,7 @@ def merge_field(strategy, stored: Column, local: Column) -> Column:
     if isinstance(strategy, LatestBy):
         return newer(stored, local)
     if isinstance(strategy, GroupedMap):
-        both = F.map_zip_with(stored, local, lambda _, a, b: newer(a, b))
+        both = F.map_from_entries(sorted_entries(F.map_zip_with(stored, local, lambda _, a, b: newer(a, b))))
         return F.when(stored.isNull(), local).when(local.isNull(), stored).otherwise(both)
     if isinstance(strategy, LastSeen):
         return F.coalesce(local, stored)

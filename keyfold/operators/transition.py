@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StructType
+from pyspark.sql.types import MapType, StringType, StructType
 
 from keyfold.functions import values as v
 from keyfold.functions.values import Value
@@ -122,7 +122,7 @@ def length_prefixed(*parts: Column) -> Column:
     return F.concat(*(F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fnv128(parts: pd.Series) -> pd.Series:
     """FNV-1a with 128 bits over parts, each after its byte length as a little-endian 64-bit integer."""
 
