@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyfold.llm import bpe, decontaminate, jaccard, language, lines
-from keyfold.llm.common import save, table
+from keyfold.llm.common import save, small_batches, table
 
 #: A language is rejected below this score; `und` always is.
 LEAST_SCORE = 0.05
@@ -19,6 +19,7 @@ LEAST_SCORE = 0.05
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or with no credible language."""
+    small_batches(spark)
     found = language.predict(docs, language.fit(docs), keep=docs.columns)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 

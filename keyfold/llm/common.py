@@ -17,7 +17,18 @@ STEP_BYTES = 2 << 20
 BROADCAST_IDS = 2_000_000
 
 
+#: Rows of an Arrow batch, where the session has Spark's default: whole texts may be long.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, ARROW_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -104,8 +115,8 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def steps(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cuts a string column into (first row, row count, bytes, offsets) of about STEP_BYTES."""
+def steps(texts: pa.Array, size: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cuts a string column into (first row, row count, bytes, offsets) of about size bytes."""
     texts = texts.fill_null("").cast(pa.large_string())
     if not len(texts):
         return
@@ -113,7 +124,7 @@ def steps(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
     at = 0
     while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(off, off[at] + STEP_BYTES, "right")) - 1)
+        end = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
         yield at, end - at, data[off[at] : off[end]], off[at : end + 1] - off[at]
         at = end
 

@@ -32,6 +32,8 @@ from .common import steps, table
 #: Rows of each language that the machines are fitted on, about.
 SAMPLE = 800
 BITS, ORDERS = 11, 4
+#: Text bytes of one step: each byte gives up to ORDERS n-grams.
+STEP = 512 << 10
 #: Language families by ISO 639-1 code; any other language is a family of its own.
 FAMILIES = {
     "germanic": ["de", "en", "nl", "sv", "da", "no", "is", "af"],
@@ -202,7 +204,7 @@ def predict(documents: DataFrame, model: Model, keep: list[str] | None = None) -
     def run(batches):
         m = held.value
         for batch in batches:
-            for first, n, data, off in steps(batch.column(len(keep))):
+            for first, n, data, off in steps(batch.column(len(keep)), STEP):
                 bins, cut, letters = ngrams(data, off)
                 size = np.diff(cut)
                 margins = np.tile(m.bias, (n, 1))

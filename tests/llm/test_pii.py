@@ -1,0 +1,70 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from keyfold.llm import pii
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(s):
+    d = [int(c) for c in s if c.isdigit()][::-1]
+    return 13 <= len(d) <= 19 and sum(x if i % 2 == 0 else (2 * x if x < 5 else 2 * x - 9) for i, x in enumerate(d)) % 10 == 0
+
+
+def base(text):
+    text, out = text or "", []
+    tests = {"email": (EMAIL, lambda m: True), "ip": (IP, lambda m: all(int(p) <= 255 for p in m.split("."))), "card": (CARD, luhn), "phone": (PHONE, lambda m: 9 <= sum(c.isdigit() for c in m) <= 15)}
+    for kind, (pattern, ok) in tests.items():
+        out += [f"{kind}:{m.start()}:{m.end()}" for m in pattern.finditer(text) if ok(m[0])]
+    return out
+
+
+def compare(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("kind", F.lit("clash"))
+    found = {r["doc_id"]: r for r in pii.find(df).select("doc_id", pii.written("spans").alias("all")).collect()}
+    assert len(found) == len(texts)
+    for i, t in enumerate(texts):
+        got = [s for s in found[i]["all"].split(",") if s and not s.startswith("iban")]
+        assert got == base(t), t
+
+
+EDGES = [
+    "", None, "a@b.c", "x a.b+c@d-e.f.g, y@z", "a@b.c_d@e.f", "a@b.c.@d.e", "a@b.c@d.e.f", "@@a@b", "1.2.3.4.5.6.7.8", "256.1.1.1 1.1.1.255 01.002.3.0255", "1.2.3", "4111 1111 1111 1111", "4111-1111-1111-1112",
+    "4111111111111111 4111111111111111", "+1 (555) 123-4567", "+49 30 1234567)", "++1 2345678 9", "é🙂 a@b.co 🙂 1.2.3.4", "1 2 3 4  5 6", "79927398713 000000000000000", "a" * 20000 + "@", "1" * 20000, "+1" + "(" * 20000, "a@" + "b." * 5000 + "c",
+]
+
+
+def test_edges(spark):
+    compare(spark, EDGES)
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list("ab1234567890@.+- ()_é🙂")), max_size=60), min_size=200, max_size=300))
+def test_any_text(spark, texts):
+    compare(spark, texts)
+
+
+def test_iban_scores_and_redaction(spark):
+    text = "Iban: DE89 3704 0044 0532 0130 00. card 4111111111111111, DE88370400440532013000"
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    row = pii.find(df).select("spans", pii.redact(F.col("text"), F.col("spans")).alias("clean")).first()
+    assert [(s["kind"], text[s["start"] : s["end"]]) for s in row["spans"]] == [("card", "4111111111111111"), ("iban", "DE89 3704 0044 0532 0130 00")]
+    assert [round(s["score"], 2) for s in row["spans"]] == [1.0, 1.0]
+    assert row["clean"] == "Iban: [iban]. card [card], DE88370400440532013000"
+
+
+def test_query(spark):
+    rows = pii.query(spark, "/root/testdata/sf0.001").collect()
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(rows) == len(docs)
+    for r in rows:
+        want = base(docs[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert r["n_email"] == sum(s.startswith("email") for s in want)
