@@ -91,14 +91,14 @@ def _key(stream: Stream, scope: State) -> Column:
 
 
 def _seconds(retention: Retention, row: Column, names) -> Column:
+    """Epoch seconds of a row's timestamp; null where the row has none."""
     head, _, rest = retention.timestamp_field.partition(".")
     if head not in names:
         return F.lit(None).cast("bigint")
-    at = row[head] if not rest else v.path(F.try_parse_json(F.to_json(F.struct(row[head].alias("a")))), f"a.{rest}").col
-    at = v.as_long(Value(at, "variant")) if rest else at
-    text = at.cast("string") if not rest else at
-    number = F.coalesce(text.try_cast("bigint"), v.clamp(text.try_cast("double"))) if not rest else at
-    return number if retention.unit == "seconds" else F.when(number >= 0, F.floor(number / 1000)).otherwise(F.ceil(number / 1000)).cast("bigint")
+    held = F.try_parse_json(F.to_json(F.struct(row[head].alias("at"))))
+    number = v.as_long(v.path(held, f"at.{rest}" if rest else "at"))
+    cut = F.when(number >= 0, F.floor(number / 1000)).otherwise(F.ceil(number / 1000)).cast("bigint")
+    return number if retention.unit == "seconds" else cut
 
 
 def _kept(stream: Stream, row: Column, names, now: Column) -> Column:
