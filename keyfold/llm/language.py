@@ -30,7 +30,7 @@ from .bpe import LETTER, classes, code_points
 from .common import steps, table
 
 #: Rows of each language that the machines are fitted on, about.
-SAMPLE = 800
+SAMPLE = 500
 BITS, ORDERS = 11, 4
 #: Text bytes of one step: each byte gives up to ORDERS n-grams.
 STEP = 512 << 10
@@ -93,7 +93,7 @@ def ngrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def histograms(documents: DataFrame) -> DataFrame:
-    """Rows (lang, freq array<float>): relative frequencies of hashed n-grams."""
+    """Rows (lang, freq BINARY): relative frequencies of hashed n-grams, 32-bit floats."""
 
     def run(batches):
         for batch in batches:
@@ -105,11 +105,11 @@ def histograms(documents: DataFrame) -> DataFrame:
                     freq = np.bincount((row << BITS) + bins[cut[a] : cut[b]], minlength=(b - a) << BITS).reshape(b - a, -1)
                     freq = (freq / np.maximum(1, freq.sum(1, keepdims=True))).astype(np.float32)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(first + a, b - a), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) << BITS), pa.array(freq.ravel()))],
+                        [batch.column(0).slice(first + a, b - a), pa.array([r.tobytes() for r in freq], pa.binary())],
                         ["lang", "freq"],
                     )
 
-    return documents.select("lang", "text").mapInArrow(run, "lang string, freq array<float>")
+    return documents.select("lang", "text").mapInArrow(run, "lang string, freq binary")
 
 
 def fit_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float = 1e-3, rounds: int = 200) -> np.ndarray:
@@ -171,12 +171,12 @@ def fit(documents: DataFrame, use: Column | None = None) -> Model:
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, int(min(1.0, SAMPLE / n) * 1_000_000)).otherwise(share)
-    sample = histograms(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)).toPandas()
-    lang, rows_ = sample["lang"].to_numpy(), sample.pop("freq").to_numpy()
-    x = np.ones((len(rows_), (1 << BITS) + 1), np.float32)
-    for k, row in enumerate(rows_):
-        x[k, :-1] = row
-    del sample, rows_
+    sample = histograms(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)).toArrow()
+    lang = np.array(sample.column("lang").to_pylist(), object)
+    x = np.ones((len(lang), (1 << BITS) + 1), np.float32)
+    for k, row in enumerate(sample.column("freq")):
+        x[k, :-1] = np.frombuffer(row.as_py(), np.float32)
+    del sample
     centre, spread = x[:, :-1].mean(0), x[:, :-1].std(0)
     scale = (1 / (spread + 1e-4) / np.sqrt(max(1, (spread > 0).sum()))).astype(np.float32)
     x[:, :-1] -= centre
