@@ -7,7 +7,7 @@ meet lines that do not; a repeated line of OWN_WORDS words or more, a passage by
 itself, is a chunk of its own. All this depends on nearby lines alone, so that a
 passage is cut in the same places wherever it stands and however much text precedes it. A chunk is at
 most MOST lines long. A chunk of at least MIN_WORDS words (LONE_WORDS if it is a single
-line) whose hash occurs again is compared, byte for byte, with the first chunk of that
+line), or any in a run of repeated lines with RUN_WORDS words or more, whose hash occurs again is compared, byte for byte, with the first chunk of that
 hash (least doc_id, then place); if equal, it is a repetition and its lines are removed.
 
 The first occurrence always stays. Line and chunk hashes are counted with map-side
@@ -17,8 +17,9 @@ joined back is split by Spark where a hash is hot.
 Defined results: a null text stays null (0 lines); lines are divided by ``\\n`` and
 compared as they are, a trailing carriage return included; an empty text is one empty
 line, which is never removed; a document of which everything is removed has the empty
-text; rows need unique doc_ids, and one with a null doc_id stays as it is; other columns
-are left alone.
+text; a repeated row (doc_id and text) is the same document and is cut like it, rows of one doc_id with
+different texts are different documents; a row with a null doc_id stays as it is; other
+columns are left alone.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import mix, save, table
 
 WINDOW, MEAN, MOST = 2, 4, 64
-MIN_WORDS, LONE_WORDS, OWN_WORDS = 12, 24, 40
+MIN_WORDS, LONE_WORDS, OWN_WORDS, RUN_WORDS = 12, 24, 40, 40
 
 
 def line_hashes(text: str) -> np.ndarray:
@@ -78,56 +79,57 @@ def cut(hashes: np.ndarray, repeated: np.ndarray, words: np.ndarray) -> np.ndarr
 
 
 def chunks(documents: DataFrame) -> DataFrame:
-    """Rows (doc_id, start, stop, chunk, body) of the chunks of repeated lines that count; rows have `known`."""
+    """Rows (doc_id, of, start, stop, chunk, body) of the chunks of repeated lines that count; rows have `known`."""
 
     def run(batches):
         for batch in batches:
-            out = [[] for _ in range(5)]
-            for doc, text, known in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            out = [[] for _ in range(6)]
+            for doc, of, text, known in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 hashes = line_hashes(text)
                 again = np.isin(hashes.view(np.int64), np.array(known, np.int64))
                 lines = text.split("\n")
-                begin = cut(hashes, again, np.array([len(x.split()) if r else 0 for x, r in zip(lines, again, strict=True)]))
+                words = np.array([len(x.split()) if r else 0 for x, r in zip(lines, again, strict=True)])
+                begin = cut(hashes, again, words)
+                run_of = np.cumsum(np.concatenate([[0], again[1:] != again[:-1]]))
+                in_run = np.bincount(run_of, words)[run_of]
                 for a, b in zip(begin, [*begin[1:], len(lines)], strict=True):
                     if not again[a]:
                         continue
-                    body = "\n".join(lines[a:b])
-                    words = len(body.split())
-                    if words >= (MIN_WORDS if b - a > 1 else LONE_WORDS):
-                        for x, v in zip(out, (doc, a, b, xxhash.xxh3_64_intdigest(body.encode()) - 2**63, body), strict=True):
+                    if in_run[a] >= RUN_WORDS or words[a:b].sum() >= (MIN_WORDS if b - a > 1 else LONE_WORDS):
+                        body = "\n".join(lines[a:b])
+                        for x, v in zip(out, (doc, of, a, b, xxhash.xxh3_64_intdigest(body.encode()) - 2**63, body), strict=True):
                             x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "start", "stop", "chunk", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (*[pa.int64()] * 5, pa.string()), strict=True)], ["doc_id", "of", "start", "stop", "chunk", "body"])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "known").mapInArrow(run, "doc_id bigint, start bigint, stop bigint, chunk bigint, body string")
+    return documents.select("doc_id", "of", "text", "known").mapInArrow(run, "doc_id bigint, of bigint, start bigint, stop bigint, chunk bigint, body string")
 
 
 def known_lines(documents: DataFrame) -> DataFrame:
-    """Rows (doc_id, known): the hashes of a document's lines that occur more than once in all the data."""
+    """Rows (doc_id, of, known): the hashes of a document's lines that occur more than once in all the data."""
 
     def run(batches):
         for batch in batches:
-            found = [np.unique(line_hashes(t)) for t in batch.column(1).to_pylist()]
-            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+            found = [np.unique(line_hashes(t)) for t in batch.column(2).to_pylist()]
+            ids, of = (np.repeat(batch.column(k).to_numpy(), [len(x) for x in found]) for k in (0, 1))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found).view(np.int64))], ["doc_id", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(of), pa.array(np.concatenate(found).view(np.int64))], ["doc_id", "of", "line"])
 
-    named = documents.where("text <> '' AND doc_id IS NOT NULL")
-    lines = named.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, line bigint")
+    lines = documents.select("doc_id", "of", "text").mapInArrow(run, "doc_id bigint, of bigint, line bigint")
     often = counted_lines(documents).groupBy("line").agg(F.sum("n").alias("n")).where("n > 1").select("line")
-    return lines.join(often, "line").groupBy("doc_id").agg(F.collect_list("line").alias("known"))
+    return lines.join(often, "line").groupBy("doc_id", "of").agg(F.collect_set("line").alias("known"))
 
 
 def repetitions(documents: DataFrame) -> DataFrame:
-    """Rows (doc_id, ranges array<struct<start, stop>>) of the lines to remove."""
-    known = known_lines(documents)
-    found = save(chunks(documents.where("text <> ''").join(known, "doc_id")))
-    heads = found.groupBy("chunk").agg(F.min(F.struct("doc_id", "start")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    heads = heads.select("chunk", F.col("head.doc_id").alias("doc_id"), F.col("head.start").alias("start"))
-    first = found.join(heads, ["chunk", "doc_id", "start"]).select(
-        "chunk", F.col("doc_id").alias("head_doc"), F.col("start").alias("head_start"), F.col("body").alias("head_body")
+    """Rows (doc_id, of, ranges array<struct<start, stop>>) of the lines to remove; of: hash of the text."""
+    named = documents.where("text <> '' AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("of"), "text")
+    found = save(chunks(named.join(known_lines(named), ["doc_id", "of"])))
+    heads = found.groupBy("chunk").agg(F.min(F.struct("doc_id", "of", "start")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    heads = heads.select("chunk", *(F.col(f"head.{c}").alias(c) for c in ("doc_id", "of", "start")))
+    first = found.join(heads, ["chunk", "doc_id", "of", "start"]).groupBy("chunk").agg(
+        F.first(F.struct("doc_id", "of", "start")).alias("head"), F.first("body").alias("head_body")  # one row, or equal ones of a repeated row
     )
-    again = found.join(first, "chunk").where("body = head_body AND NOT (doc_id = head_doc AND start = head_start)")
-    return again.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("ranges"))
+    again = found.join(first, "chunk").where("body = head_body AND NOT (doc_id = head.doc_id AND of = head.of AND start = head.start)")
+    return again.groupBy("doc_id", "of").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("ranges"))
 
 
 def kept_text(text, ranges):
@@ -143,13 +145,15 @@ def kept_text(text, ranges):
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
-    """The rows of documents with their text cut, and n_lines and n_removed beside it."""
-    cuts = repetitions(documents).withColumnRenamed("doc_id", "of_doc")
-    joined = documents.join(cuts, documents["doc_id"] == F.col("of_doc"), "left")
-    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1))).cast("bigint")
-    removed = F.coalesce(F.aggregate("ranges", F.lit(0).cast("bigint"), lambda a, r: a + r["stop"] - r["start"]), F.lit(0).cast("bigint"))
-    text = F.when(F.col("ranges").isNull(), F.col("text")).otherwise(kept_text(F.col("text"), F.col("ranges")))
-    return joined.withColumns({"n_lines": n, "n_removed": removed, "text": text}).select(*documents.columns, "n_lines", "n_removed")
+    """The rows of documents with their text cut, and n_lines and n_removed beside it (in place of such columns)."""
+    cuts = repetitions(documents).select(*(F.col(c).alias(f"cut {c}") for c in ("doc_id", "of", "ranges")))
+    joined = documents.join(cuts, (documents["doc_id"] == F.col("cut doc_id")) & (F.xxhash64(documents["text"]) == F.col("cut of")), "left")
+    ranges, body = F.col("cut ranges"), documents["text"]
+    n = F.when(body.isNull(), F.lit(0)).otherwise(F.size(F.split(body, "\n", -1))).cast("bigint")
+    removed = F.coalesce(F.aggregate(ranges, F.lit(0).cast("bigint"), lambda a, r: a + r["stop"] - r["start"]), F.lit(0).cast("bigint"))
+    text = F.when(ranges.isNull(), body).otherwise(kept_text(body, ranges))
+    kept = [text.alias(c) if c == "text" else documents[c] for c in documents.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*kept, n.alias("n_lines"), removed.alias("n_removed"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
