@@ -11,9 +11,9 @@ are, and then the tables, so that a pair right at the threshold is missed with a
 of at most MISSED; closer pairs are surer.
 
 Equal vectors are one vector with a count until the end. A bucket of more than BLOCK
-vectors is cut into blocks that meet pairwise, each pair of blocks in a task of its
-own, so that no bucket is gathered; what leaves a pair of blocks are sums and one link
-for a vector, not pairs. A pair found in several tables counts in the first one only.
+vectors is cut into blocks that meet pairwise, and pairs of blocks are dealt to cells of
+about CELL rows, so that no bucket is gathered; what leaves a pair of blocks are sums and
+one link for a vector, not pairs. A pair found in several tables counts in the first one only.
 
 Defined results: vectors that are null, empty, zero or that hold null or
 non-finite components, and vectors with a null label, link with nothing; vectors of
@@ -177,3 +177,15 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9_embedding_dedup: all embeddings, linked at a cosine of 0.98 within a label."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.vec_id),
+k AS (SELECT x, count(*) AS n FROM l GROUP BY x),
+m AS (SELECT vec_id, min(c) AS c FROM r GROUP BY vec_id)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM m LEFT JOIN k ON x = vec_id
+"""
