@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 
 from keyfold.operators import fold, transition
 from keyfold.sources import events
+from keyfold.sources.enrichment import Enrichment
 from keyfold.streaming.ops import Settings, shown, state_response
 from keyfold.streaming.runner import Runner
 
@@ -27,10 +28,11 @@ def main(args: list[str] | None = None) -> int:
     settings, declared = Settings.load(*opts.config), importlib.import_module(opts.module)
     spark = SparkSession.builder.appName("keyfold").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     emit = (lambda d, _: print(*shown(d, settings.sample), sep="\n")) if opts.inspect else None
-    runner = Runner(spark, declared.SCHEMA, declared.TRANSFORMER, settings.path, dry_run=opts.inspect, emit=emit)
+    enrichment = Enrichment(spark, settings.enrichment_file, settings.reload_secs) if settings.enrichment_file else None
+    runner = Runner(spark, declared.SCHEMA, declared.TRANSFORMER, settings.path, dry_run=opts.inspect, emit=emit, enrichment=enrichment)
     if opts.command == "check":
         local = spark.createDataFrame([], runner.state.schema)
-        found = transition.check(declared.SCHEMA, declared.TRANSFORMER, fold.merge(local, local, declared.SCHEMA))
+        found = transition.check(declared.SCHEMA, declared.TRANSFORMER, fold.merge(local, local, declared.SCHEMA), enrichment and enrichment.rows())
         print(*(found or ["no findings"]), sep="\n")
         return int(bool(found))
     if opts.command == "state":

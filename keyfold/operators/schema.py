@@ -134,7 +134,11 @@ class Retention:
 
 @dataclass(frozen=True)
 class Stream:
-    """An output stream: gate, one row (columns) or a row for each entry (explode, each), key, retention."""
+    """An output stream: gate, one row (columns) or a row for each entry (explode, each), key, retention.
+
+    `lookups` names values of enrichment tables, (table, key expression); columns and key read them
+    with `scope.lookup(name)`. A gate cannot: it is decided before.
+    """
 
     name: str
     topic: str
@@ -146,6 +150,7 @@ class Stream:
     key: Expr | None = None
     retention: Retention | None = None
     sign_flag: bool = True
+    lookups: dict[str, tuple[str, Expr]] = field(default_factory=dict)
 
     def problems(self) -> list[str]:
         row = self.each if self.explode else self.columns

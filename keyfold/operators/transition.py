@@ -14,7 +14,7 @@ its own row for a lone leg.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,6 +24,7 @@ from pyspark.sql.types import MapType, StringType, StructType
 from keyfold.functions import values as v
 from keyfold.functions.values import Value
 
+from .enrich import lookup
 from .schema import Retention, Schema, Stream, Transformer
 
 
@@ -34,6 +35,7 @@ class State:
     base: str
     schema: StructType
     element: str | None = None
+    variant_lookups: bool = False
 
     def __getitem__(self, name: str) -> Column:
         """A field of the state, as a Column."""
@@ -47,6 +49,11 @@ class State:
         """A typed value of the exploded entry (`payload.x`, `comparator`)."""
         return _typed(F.col(self.element), self.entry_type, dotted)
 
+    def lookup(self, name: str) -> Value:
+        """The value that the stream's look-up of that name found; null for none."""
+        c = F.col(f"{self.base}_lookup_{name}")
+        return Value(v.present(c), "variant") if self.variant_lookups else Value(c.cast("string"), "string")
+
     @property
     def entry_type(self):
         return self.schema["#entry"].dataType if "#entry" in self.schema.names else None
@@ -143,11 +150,12 @@ def _ids(stream: Stream, exact: bool, row_id: Column, payload: Column, *more: Co
     return fnv128(F.array(*parts)) if exact else F.md5(length_prefixed(*parts))
 
 
-def render(states: DataFrame, stream: Stream, now: Column | int, exact_ids: bool = False) -> DataFrame:
+def render(states: DataFrame, stream: Stream, now: Column | int, exact_ids: bool = False, enrichment: DataFrame | None = None) -> DataFrame:
     """Deltas (stream, topic, key, payload, sign, session_key, row_id, event_id, correlation_id, causation_*) of one stream.
 
     `states` has session_key, old and new (structs of equal type; old is null for a new session), and,
-    if known, causation_topic, causation_partition and causation_offset.
+    if known, causation_topic, causation_partition and causation_offset. `enrichment` has (table, key, value),
+    value a VARIANT or a text; both legs of a pair read what it holds now.
     """
     now = F.lit(now) if isinstance(now, int) else now
     kind = states.schema["new"].dataType
@@ -180,6 +188,12 @@ def render(states: DataFrame, stream: Stream, now: Column | int, exact_ids: bool
         )
         wide = StructType([*kind.fields]).add("#entry", entry)
         old_scope, new_scope = State("old", wide, "old_each"), State("new", wide, "new_each")
+    if stream.lookups and enrichment is not None:
+        is_variant = enrichment.schema["value"].dataType.simpleString() == "variant"
+        new_scope, old_scope = (replace(s, variant_lookups=is_variant) for s in (new_scope, old_scope))
+        for name, (table, key) in stream.lookups.items():
+            for scope in (new_scope, old_scope):
+                rows = lookup(rows, enrichment, table, key(scope), f"{scope.base}_lookup_{name}")
     after, before = _fields(stream, new_scope), _fields(stream, old_scope)
     names = list(after)
     pack = lambda held: F.struct(*(c.alias(n) for n, c in held.items())) if held else F.struct(F.lit(0).alias("_"))
@@ -214,27 +228,29 @@ def render(states: DataFrame, stream: Stream, now: Column | int, exact_ids: bool
     )
 
 
-def deltas(states: DataFrame, transformer: Transformer, now: Column | int, exact_ids: bool = False) -> DataFrame:
+def deltas(states: DataFrame, transformer: Transformer, now: Column | int, exact_ids: bool = False, enrichment: DataFrame | None = None) -> DataFrame:
     """The deltas of all streams."""
     out = None
     for stream in transformer.streams:
-        part = render(states, stream, now, exact_ids)
+        part = render(states, stream, now, exact_ids, enrichment)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def validate(states: DataFrame, transformer: Transformer) -> list[str]:
-    """All that Spark's analyzer has against the streams, stream by stream; nothing runs."""
+def validate(states: DataFrame, transformer: Transformer, enrichment: DataFrame | None = None) -> list[str]:
+    """All that Spark's analyzer has against the streams, stream by stream; no state is read."""
     found = []
     for stream in transformer.streams:
         try:
-            render(states, stream, 0).schema  # noqa: B018
+            render(states, stream, 0, enrichment=enrichment).schema  # noqa: B018
         except Exception as e:  # noqa: BLE001  every kind of analysis error is a finding
             found.append(f"[stream {stream.name}] {str(e).splitlines()[0]}")
     return found
 
 
-def check(schema: Schema, transformer: Transformer, states: DataFrame) -> list[str]:
-    """Findings about the transformer against a state: unknown fields, explodes of what is no collection."""
-    wrong = [f"[stream {s.name}] explode: {s.explode} is not a field of the state" for s in transformer.streams if s.explode and s.explode not in schema.fields]
-    return wrong or validate(states, transformer)
+def check(schema: Schema, transformer: Transformer, states: DataFrame, enrichment: DataFrame | None = None) -> list[str]:
+    """Findings about the transformer against a state: unknown fields and tables, explodes of what is no field."""
+    tables = {r[0] for r in enrichment.select("table").distinct().collect()} if enrichment is not None else set()
+    wrong = [f"[stream {s.name}] look-up {n}: no table {t}" for s in transformer.streams for n, (t, _) in s.lookups.items() if t not in tables]
+    wrong += [f"[stream {s.name}] explode: {s.explode} is not a field of the state" for s in transformer.streams if s.explode and s.explode not in schema.fields]
+    return wrong or validate(states, transformer, enrichment)

@@ -382,6 +382,21 @@ def retention(spark, sf_dir):
     return transition.render(states, stream, 20 * 86400).select("session_key", (F.get_json_object("payload", "$.at").cast("bigint") / 86400).cast("bigint").alias("at"))
 
 
+@query(
+    """WITH st AS (SELECT s_nationkey, count(*) AS n, max(s_suppkey) AS last FROM supplier GROUP BY 1)
+    SELECT s_nationkey::VARCHAR AS session_key, 1 AS sign, '{"last":' || last || ',"n":' || n || ',"nation":"' || n_name || '","sign_flag":1}' AS payload FROM st JOIN nation ON n_nationkey = s_nationkey"""
+)
+def delta_lookup(spark, sf_dir):
+    """Deltas with a look-up in an enrichment table."""
+    rows = table(spark, sf_dir, "supplier").withColumns({"user": F.col("s_nationkey").cast("string"), "seq": F.col("s_suppkey")})
+    schema = Schema("nation", 1, "nationkey", "{user}", {"nation": LastSeen(value=lambda r: r["user"]), "last": LatestBy(comparator=lambda r: r["s_suppkey"], payload=lambda r: r["s_suppkey"]), "n": Counter()})
+    local = fold.fold(ingest.admitted(rows, schema), schema)
+    dimension = table(spark, sf_dir, "nation").select(F.lit("nation").alias("table"), F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("value"))
+    stream = Stream("suppliers", "suppliers", columns={"nation": lambda s: s.lookup("name"), "last": lambda s: s.value("last.payload"), "n": lambda s: s.value("n")}, lookups={"name": ("nation", lambda s: s.value("nation"))})
+    states = fold.merge(fold.elided(local, schema).where("false"), local, schema)
+    return transition.render(states, stream, 0, enrichment=dimension).select("session_key", "sign", "payload")
+
+
 @query()
 def event_ids(spark, sf_dir):
     """Ids of the deltas: one for each delta, shared correlation in a pair."""

@@ -21,6 +21,7 @@ from pyspark.sql.types import StructType
 from keyfold.operators import fold, ingest, transition
 from keyfold.operators.schema import Schema, Transformer
 from keyfold.sources import events as sinks
+from keyfold.sources.enrichment import Enrichment
 from keyfold.sources.state import StateTable
 
 
@@ -40,6 +41,7 @@ class Runner:
     clock: Callable[[], float] = time.time
     dry_run: bool = False
     emit: Callable[[DataFrame, int], None] | None = None
+    enrichment: Enrichment | None = None
     metrics: list[dict] = field(default_factory=list)
 
     def __post_init__(self) -> None:
@@ -64,7 +66,7 @@ class Runner:
             ).persist()
             try:
                 now = int(self.clock())
-                out = transition.deltas(states, self.transformer, now).withColumns({"state_version": F.lit(self.schema.version), "produced_at": F.lit(now).cast("bigint")})
+                out = transition.deltas(states, self.transformer, now, enrichment=self.enrichment and self.enrichment.rows()).withColumns({"state_version": F.lit(self.schema.version), "produced_at": F.lit(now).cast("bigint")})
                 if self.dry_run:
                     (self.emit or (lambda d, _: d.show(truncate=False)))(out, batch_id)
                 else:

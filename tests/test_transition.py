@@ -100,3 +100,11 @@ def test_row_overrides_common_unless_null(spark):
     stream = Stream("c", "t", columns={"a": lambda s: v.lit(None), "b": lambda s: v.lit("row")}, common={"a": lambda s: v.lit("common"), "b": lambda s: v.lit("common")})
     df = spark.createDataFrame([("s", None, (True, {}))], f"session_key string, old {STATE}, new {STATE}")
     assert transition.render(df, stream, 0).first()["payload"] == '{"a":"common","b":"row","sign_flag":1}'
+
+
+def test_lookup(spark):
+    dimension = spark.createDataFrame([("t", "k", '{"n":5}'), ("other", "k", "1")], "table string, key string, value string").withColumn("value", F.try_parse_json("value"))
+    stream = Stream("l", "t", explode="m", each={"n": lambda s: v.get(s.lookup("a"), "n"), "miss": lambda s: s.lookup("b")}, lookups={"a": ("t", lambda s: s.each("payload.k")), "b": ("t", lambda s: s.each("payload.x"))})
+    df = spark.createDataFrame([("s", None, (True, {"r": (1, ("1", "k", 0))}))], f"session_key string, old {STATE}, new {STATE}")
+    assert transition.render(df, stream, 0, enrichment=dimension).first()["payload"] == '{"n":5,"sign_flag":1}'
+    assert transition.check(SCHEMA, type(TRANSFORMER)((stream,)), df, dimension) != []  # m is no field of that schema
