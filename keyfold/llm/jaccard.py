@@ -80,7 +80,7 @@ def summaries(documents: DataFrame, n: int, t: Threshold) -> DataFrame:
             for first, count, found, off in sets_of(batch.column(1), n):
                 size = np.diff(off)
                 miss = t.miss(size)
-                take = np.where(miss > 0, np.minimum(size, miss + 1 + miss // 2), 0)
+                take = np.minimum(size, miss + 1 + miss // 2)  # also where miss is 0: a larger set may hold this one
                 rank = np.arange(len(found)) - np.repeat(off[:-1], size)
                 head = found[rank < np.repeat(take, size)]
                 with np.errstate(over="ignore"):
@@ -231,7 +231,7 @@ def join(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     base = save(summaries(documents, n, t))
     reps = base.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("head").alias("head"))
     reps = save(reps)
-    found = components(links(documents, reps.select("rep", "n", "head").where(F.size("head") > 0), n, t))
+    found = components(links(documents, reps.select("rep", "n", "head"), n, t))
     whole = reps.select("fp_a", "fp_b", "rep").join(found, F.col("rep") == F.col("node"), "left").select("fp_a", "fp_b", F.coalesce("component", "rep").alias("component"))
     return base.select("doc_id", "n", "fp_a", "fp_b").join(whole, ["fp_a", "fp_b"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id")

@@ -61,3 +61,16 @@ def test_nothing_to_link(spark):
     df = spark.createDataFrame([(1, "a b c d"), (2, None), (None, "a b c d")], "doc_id bigint, text string")
     assert sorted(map(tuple, jaccard.join(df).collect()), key=str) == sorted([(1, 2, 1), (2, 0, 2), (None, 2, None)], key=str)
     assert jaccard.join(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(("n", "percent", "words"), [(3, 90, 11), (5, 80, 8)])
+def test_one_word_more_at_the_boundary(spark, n, percent, words):
+    """9 shingles in 10 at 90 percent, 4 in 5 at 80: the smaller set may lack none."""
+    docs = {}
+    for k in range(4):
+        text = " ".join(f"w{k}x{i}" for i in range(words))
+        docs |= {10 * k + 1: text, 10 * k + 2: f"{text} behind", 10 * k + 3: f"front {text}", 10 * k + 4: text[:-1] + "other"}
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(3)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df, n, percent).collect()}
+    assert found == brute(docs, n, percent)
+    assert [found[k][1] for k in (1, 2, 3, 4)] == [1, 1, 1, 4]
