@@ -1,14 +1,19 @@
 """Line dedup over content-defined chunks of lines.
 
-Every line has a 64-bit hash. A document's lines are cut into chunks where the
-content says so: after a line at which the rolling hash over the last WINDOW line
-hashes is 0 modulo MEAN, and wherever lines that occur more than once in all the data
-meet lines that do not; a repeated line of OWN_WORDS words or more, a passage by
-itself, is a chunk of its own. All this depends on nearby lines alone, so that a
-passage is cut in the same places wherever it stands and however much text precedes it. A chunk is at
-most MOST lines long. A chunk of at least MIN_WORDS words (LONE_WORDS if it is a single
-line), or any in a run of repeated lines with RUN_WORDS words or more, whose hash occurs again is compared, byte for byte, with the first chunk of that
-hash (least doc_id, then place); if equal, it is a repetition and its lines are removed.
+Every line has a 64-bit hash, and so has every pair of neighbouring lines; both are counted
+over all the data. A document's lines are cut into chunks where the content says so: between
+neighbours that do not always stand together (the pair is rarer than one of its lines), so
+that a passage has edges wherever it stands, whatever repeated line is beside it; inside,
+after a line at which the rolling hash over the last WINDOW line hashes is 0 modulo MEAN;
+a repeated line of OWN_WORDS words or more, a passage by itself, is a chunk of its own.
+A chunk is at most MOST lines long. A run is a stretch of lines whose pairs all occur more
+than once; a repeated passage lies in one run.
+
+A chunk of at least MIN_WORDS words (LONE_WORDS if it is a single line) whose hash occurs again
+is compared, byte for byte, with the first chunk of that hash (least doc_id, then place); if equal,
+it is a repetition and its lines are removed. A smaller chunk in a run of RUN_WORDS words or more
+is a repetition where it occurs again with the same lines before or behind it, as many as make
+MIN_WORDS words (their 128-bit hash is compared): a short line goes with its passage, not alone.
 
 The first occurrence always stays. Line and chunk hashes are counted with map-side
 combining, so that a line that a third of all documents share is one number; what is
@@ -41,36 +46,39 @@ def line_hashes(text: str) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, len(lines))
 
 
+def pair_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of each line with the next one."""
+    with np.errstate(over="ignore"):
+        return mix(mix(hashes[:-1], 10) * np.uint64(0x9E3779B97F4A7C15) + hashes[1:], 11)
+
+
 def counted_lines(documents: DataFrame) -> DataFrame:
-    """Rows (line, n): how often a batch has each line, by hash."""
+    """Rows (line, n): how often a batch has each line and pair of lines, by hash."""
 
     def run(batches):
         for batch in batches:
             found = [line_hashes(t) for t in batch.column(0).to_pylist() if t]
             if found:
-                line, many = np.unique(np.concatenate(found), return_counts=True)
+                line, many = np.unique(np.concatenate([*found, *map(pair_hashes, found)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(line.view(np.int64)), pa.array(many)], ["line", "n"])
 
     return documents.select("text").mapInArrow(run, "line bigint, n bigint")
 
 
-def cut(hashes: np.ndarray, repeated: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Starts of the chunks of a document."""
+def cut(hashes: np.ndarray, many: np.ndarray, pairs: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Starts of the chunks of a document; many, pairs: how often its lines and pairs of lines occur (1: once)."""
     n = len(hashes)
+    starts = np.ones(n, bool)
+    starts[1:] = (pairs != many[1:]) | (pairs != many[:-1])
+    # the rolling hash does not look back over such an edge
     rolling = hashes.copy()
+    inner = ~starts
     with np.errstate(over="ignore"):
         for k in range(1, WINDOW):
-            rolling[k:] = rolling[k:] * np.uint64(0x9E3779B97F4A7C15) + hashes[: n - k]
-    ends = mix(rolling, 9) % np.uint64(MEAN) == 0
-    starts = np.zeros(n, bool)
-    starts[0] = True
-    starts[1:] = ends[:-1] | (repeated[1:] != repeated[:-1])
-    # the rolling hash looks back, but not out of a run of repeated lines
-    if n > 1:
-        fresh = np.flatnonzero(repeated[1:] & ~repeated[:-1]) + 1
-        fresh = fresh[fresh + 1 < n]
-        starts[fresh + 1] = repeated[fresh + 1] != repeated[fresh]
-    own = np.flatnonzero(repeated & (words >= OWN_WORDS))
+            rolling[k:] = np.where(inner[k:], rolling[k:] * np.uint64(0x9E3779B97F4A7C15) + hashes[: n - k], rolling[k:])
+            inner[1:] &= inner[:-1]
+    starts[1:] |= (mix(rolling, 9) % np.uint64(MEAN) == 0)[:-1]
+    own = np.flatnonzero((many > 1) & (words >= OWN_WORDS))
     starts[own] = True
     starts[own[own + 1 < n] + 1] = True
     at = np.flatnonzero(starts)
@@ -78,25 +86,55 @@ def cut(hashes: np.ndarray, repeated: np.ndarray, words: np.ndarray) -> np.ndarr
     return np.concatenate([np.arange(a, a + s, MOST) for a, s in zip(at, size, strict=True)])
 
 
+def beside(lines: list[str], total: np.ndarray, low: int, high: int, a: int, b: int) -> list[str]:
+    """A chunk's lines with the digest of those before and of those behind it, in its run (low, high); total: words up to each line."""
+    out, body = [], "\n".join(lines[a:b])
+    first = min(a - 1, int(np.searchsorted(total, total[b] - MIN_WORDS, "right")) - 1)
+    if first >= low:
+        out.append(f"<{xxhash.xxh3_128_hexdigest(chr(10).join(lines[first:a]).encode())}\n{body}")
+    last = max(b + 1, int(np.searchsorted(total, total[a] + MIN_WORDS)))
+    if last <= high:
+        out.append(f">{xxhash.xxh3_128_hexdigest(chr(10).join(lines[b:last]).encode())}\n{body}")
+    return out
+
+
+def occurrences(hashes: np.ndarray, known: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How often each hash occurs, by the sorted ones that occur more than once."""
+    if not len(known):
+        return np.ones(len(hashes), np.int64)
+    place = np.minimum(np.searchsorted(known, hashes.view(np.int64)), len(known) - 1)
+    return np.where(known[place] == hashes.view(np.int64), n[place], 1)
+
+
 def chunks(documents: DataFrame) -> DataFrame:
     """Rows (doc_id, of, start, stop, chunk, body) of the chunks of repeated lines that count; rows have `known`."""
 
     def run(batches):
         for batch in batches:
             out = [[] for _ in range(6)]
-            for doc, of, text, known in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            held = batch.column(3)
+            bound, flat = held.offsets.to_numpy() - held.offsets[0].as_py(), held.flatten()
+            known, times = (flat.field(c).to_numpy() for c in ("line", "n"))
+            for at, (doc, of, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
                 hashes = line_hashes(text)
-                again = np.isin(hashes.view(np.int64), np.array(known, np.int64))
+                own = slice(bound[at], bound[at + 1])
+                order = np.argsort(known[own])
+                many, pairs = (occurrences(x, known[own][order], times[own][order]) for x in (hashes, pair_hashes(hashes)))
                 lines = text.split("\n")
-                words = np.array([len(x.split()) if r else 0 for x, r in zip(lines, again, strict=True)])
-                begin = cut(hashes, again, words)
-                run_of = np.cumsum(np.concatenate([[0], again[1:] != again[:-1]]))
-                in_run = np.bincount(run_of, words)[run_of]
+                words = np.array([len(x.split()) if r else 0 for x, r in zip(lines, many > 1, strict=True)])
+                total = np.concatenate([[0], np.cumsum(words)])
+                begin = cut(hashes, many, pairs, words)
+                edges = np.concatenate([[0], np.flatnonzero(pairs < 2) + 1, [len(lines)]])
                 for a, b in zip(begin, [*begin[1:], len(lines)], strict=True):
-                    if not again[a]:
+                    if many[a] < 2:
                         continue
-                    if in_run[a] >= RUN_WORDS or words[a:b].sum() >= (MIN_WORDS if b - a > 1 else LONE_WORDS):
-                        body = "\n".join(lines[a:b])
+                    if total[b] - total[a] >= (MIN_WORDS if b - a > 1 else LONE_WORDS):
+                        bodies = ["\n".join(lines[a:b])]
+                    else:
+                        k = np.searchsorted(edges, a, "right")
+                        low, high = edges[k - 1], edges[k]
+                        bodies = beside(lines, total, low, high, a, b) if total[high] - total[low] >= RUN_WORDS else []
+                    for body in bodies:
                         for x, v in zip(out, (doc, of, a, b, xxhash.xxh3_64_intdigest(body.encode()) - 2**63, body), strict=True):
                             x.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (*[pa.int64()] * 5, pa.string()), strict=True)], ["doc_id", "of", "start", "stop", "chunk", "body"])
@@ -105,18 +143,19 @@ def chunks(documents: DataFrame) -> DataFrame:
 
 
 def known_lines(documents: DataFrame) -> DataFrame:
-    """Rows (doc_id, of, known): the hashes of a document's lines that occur more than once in all the data."""
+    """Rows (doc_id, of, known): a document's lines and pairs of lines that occur more than once in all the data, and how often."""
 
     def run(batches):
         for batch in batches:
-            found = [np.unique(line_hashes(t)) for t in batch.column(2).to_pylist()]
+            found = [line_hashes(t) for t in batch.column(2).to_pylist()]
+            found = [np.unique(np.concatenate([x, pair_hashes(x)])) for x in found]
             ids, of = (np.repeat(batch.column(k).to_numpy(), [len(x) for x in found]) for k in (0, 1))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(of), pa.array(np.concatenate(found).view(np.int64))], ["doc_id", "of", "line"])
 
     lines = documents.select("doc_id", "of", "text").mapInArrow(run, "doc_id bigint, of bigint, line bigint")
-    often = counted_lines(documents).groupBy("line").agg(F.sum("n").alias("n")).where("n > 1").select("line")
-    return lines.join(often, "line").groupBy("doc_id", "of").agg(F.collect_set("line").alias("known"))
+    often = counted_lines(documents).groupBy("line").agg(F.sum("n").alias("n")).where("n > 1")
+    return lines.join(often, "line").groupBy("doc_id", "of").agg(F.collect_set(F.struct("line", "n")).alias("known"))
 
 
 def repetitions(documents: DataFrame) -> DataFrame:

@@ -51,3 +51,24 @@ def test_only_repetitions_are_removed(spark):
     assert all(kept[x] >= 1 for x in held)  # every line still stands somewhere
     assert all(kept[x] == 1 for x in held if len(x.split()) >= lines.OWN_WORDS)
     assert run(spark, []) == {}
+
+
+def test_passages_beside_lines_that_are_repeated_too(spark):
+    """A hot line, a blank one or another passage beside a passage moves none of its edges."""
+    docs = [(k, f"Les.\n{words(9, f'h{k}_')}\n\n{words(9, f'i{k}_')}") for k in range(8)]
+    sizes = ((2, 10, 33, 9), (20, 20, 15), (5, 45), (12, 12, 12, 12, 12))
+    for k in range(24):
+        body = [words(n, f"p{k}_{i}_") for i, n in enumerate(sizes[k % 4])]
+        if k % 3 == 0:
+            body.insert(1, "Les.")
+        passage = "\n".join(body)
+        before, behind = ("Les.", "", "x\nLes.")[k % 3], ("", "Les.")[k % 2]
+        docs += [(100 + k, f"{words(9, f'a{k}_')}\n{passage}\n{words(9, f'b{k}_')}"), (200 + k, f"{words(9, f'c{k}_')}\n{before}\n{passage}\n{behind}\n{words(9, f'd{k}_')}")]
+        docs += [(300 + k, f"{before}\n{passage}")]
+    found, before = run(spark, docs), dict(docs)
+    for k in [*range(8), *range(100, 124)]:
+        assert found[k]["text"] == before[k]
+    for k in range(24):
+        start, end = ("Les.", "", "x\nLes.")[k % 3], ("", "Les.")[k % 2]
+        assert found[200 + k]["text"] == f"{words(9, f'c{k}_')}\n{start}\n{end}\n{words(9, f'd{k}_')}"
+        assert not any(f"p{k}_" in line for line in found[300 + k]["text"].split("\n"))
