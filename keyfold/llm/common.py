@@ -56,6 +56,12 @@ def only_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small else ids, on, "left_semi")
 
 
+def with_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """Rows of df with the columns of ids that have their id: broadcast up to BROADCAST_IDS, shuffled beyond."""
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if small else ids, on)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), smallest id first.
 

@@ -20,7 +20,8 @@ are shuffled, hot shingles never gather their documents, and a block pair emits
 most one link for each document and component found in it.
 
 Defined results: null, empty and wordless texts have no shingles and link with
-nothing (component_id is their own doc_id); repeated rows link as copies do; a
+nothing (component_id is their own doc_id); repeated rows link as copies do and
+count once; rows of one doc_id with different texts are different sets; a
 null doc_id keeps a row and links with nothing; other columns are ignored.
 """
 
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, components, grams, lists, mix, only_ids, save, steps, table
+from .common import Words, components, grams, lists, mix, save, steps, table, with_ids
 
 #: Documents that one side of a block pair holds at most (in the mean).
 BLOCK = 1024
@@ -83,24 +84,33 @@ def summaries(documents: DataFrame, n: int, t: Threshold) -> DataFrame:
                 take = np.minimum(size, miss + 1 + miss // 2)  # also where miss is 0: a larger set may hold this one
                 rank = np.arange(len(found)) - np.repeat(off[:-1], size)
                 head = found[rank < np.repeat(take, size)]
-                with np.errstate(over="ignore"):
-                    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(found, k), dtype=np.uint64)]) for k in (5, 6)]
-                    a, b = (s[off[1:]] - s[off[:-1]] for s in sums)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, count), pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists(head, np.concatenate([[0], np.cumsum(take)]))],
+                    [batch.column(0).slice(first, count), pa.array(size), *map(pa.array, fingerprints(found, off)), lists(head, np.concatenate([[0], np.cumsum(take)]))],
                     ["doc_id", "n", "fp_a", "fp_b", "head"],
                 )
 
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, fp_a bigint, fp_b bigint, head array<bigint>")
 
 
+def fingerprints(found: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums over each set."""
+    with np.errstate(over="ignore"):
+        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(found, k), dtype=np.uint64)]) for k in (5, 6)]
+        return [(s[off[1:]] - s[off[:-1]]).view(np.int64) for s in sums]
+
+
 def whole_sets(documents: DataFrame, n: int, t: Threshold) -> DataFrame:
-    """Rows (rep, n, tokens, first, third): whole sets, and their prefixes under orders 1 and 3."""
+    """Rows (rep, copies, n, tokens, first, third): whole sets, and their prefixes under orders 1 and 3.
+
+    Rows of documents have (rep, copies, fp_a, fp_b, text); a text that is not the set of the fingerprint is left out.
+    """
 
     def run(batches):
         for batch in batches:
-            for first, count, found, off in sets_of(batch.column(1), n):
+            for first, count, found, off in sets_of(batch.column(4), n):
                 size = np.diff(off)
+                a, b = fingerprints(found, off)
+                held = (a == batch.column(2).to_numpy()[first : first + count]) & (b == batch.column(3).to_numpy()[first : first + count])
                 keep = t.miss(size) + 1
                 row = np.repeat(np.arange(count), size)
                 rank = np.arange(len(found)) - np.repeat(off[:-1], size)
@@ -108,11 +118,11 @@ def whole_sets(documents: DataFrame, n: int, t: Threshold) -> DataFrame:
                 other = np.lexsort((mix(found, 3), row))
                 cut = np.concatenate([[0], np.cumsum(np.minimum(keep, size))])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, count), pa.array(size), lists(found, off), lists(found[head], cut), lists(found[other][head], cut)],
-                    ["rep", "n", "tokens", "first", "third"],
-                )
+                    [*(batch.column(k).slice(first, count) for k in (0, 1)), pa.array(size), lists(found, off), lists(found[head], cut), lists(found[other][head], cut)],
+                    ["rep", "copies", "n", "tokens", "first", "third"],
+                ).filter(pa.array(held))
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "rep bigint, n bigint, tokens array<bigint>, first array<bigint>, third array<bigint>")
+    return documents.select("rep", "copies", "fp_a", "fp_b", "text").mapInArrow(run, "rep bigint, copies bigint, n bigint, tokens array<bigint>, first array<bigint>, third array<bigint>")
 
 
 def shared(rows: DataFrame, tokens: str) -> DataFrame:
@@ -195,11 +205,14 @@ def block_links(percent: int):
 
 
 def links(documents: DataFrame, reps: DataFrame, n: int, t: Threshold) -> DataFrame:
-    """Rows (a, b) that connect what is linked, between the documents of reps (rep, n, head)."""
+    """Rows (a, b) that connect what is linked, between the sets of reps (rep, doc_id, fp_a, fp_b, copies, n, head)."""
     miss = t.miss_sql("n")
     near = shared(reps, "head").groupBy("rep").agg(F.count(F.lit(1)).alias("met"))
-    alive = near.join(reps.select("rep", "n"), "rep").where(f"met >= 1 + floor({miss} / 2)").select(F.col("rep").alias("doc_id"))
-    sets = save(whole_sets(only_ids(documents, save(alive), "doc_id"), n, t))
+    alive = near.join(reps.drop("head"), "rep").where(f"met >= 1 + floor({miss} / 2)").select("rep", "doc_id", "fp_a", "fp_b", "copies")
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    sets = save(whole_sets(with_ids(texts, save(alive), "doc_id"), n, t))
+    once = save(sets.where("copies > 1").dropDuplicates(["rep"]))  # of repeated rows one counts
+    sets = sets.where("copies = 1").union(once).drop("copies")
     left, counted = sets, None
     for last in (False, True):
         common = shared(left, "tokens").groupBy("rep")
@@ -226,13 +239,19 @@ def links(documents: DataFrame, reps: DataFrame, n: int, t: Threshold) -> DataFr
 
 
 def join(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id) of all documents (unique doc_id)."""
+    """Rows (doc_id, n_shingles, component_id) of all documents, one for each row."""
     t = Threshold(percent)
     base = save(summaries(documents, n, t))
-    reps = base.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("head").alias("head"))
-    reps = save(reps)
-    found = components(links(documents, reps.select("rep", "n", "head"), n, t))
-    whole = reps.select("fp_a", "fp_b", "rep").join(found, F.col("rep") == F.col("node"), "left").select("fp_a", "fp_b", F.coalesce("component", "rep").alias("component"))
+    some = base.where("n > 0 AND doc_id IS NOT NULL")
+    # a set has a number of its own: one doc_id may stand for several texts
+    reps = some.groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("head").alias("head"))
+    repeated = save(some.groupBy("fp_a", "fp_b", "doc_id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    reps = reps.join(repeated, ["fp_a", "fp_b", "doc_id"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    reps = save(reps.withColumn("rep", F.monotonically_increasing_id()))
+    found = save(components(links(documents, reps, n, t)))
+    sets = reps.select("fp_a", "fp_b", "rep", "doc_id")
+    named = sets.join(found, F.col("rep") == F.col("node")).groupBy("component").agg(F.min("doc_id").alias("least"))
+    whole = sets.join(found.join(named, "component"), F.col("rep") == F.col("node"), "left").select("fp_a", "fp_b", F.coalesce("least", "doc_id").alias("component"))
     return base.select("doc_id", "n", "fp_a", "fp_b").join(whole, ["fp_a", "fp_b"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
     )

@@ -74,3 +74,18 @@ def test_one_word_more_at_the_boundary(spark, n, percent, words):
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df, n, percent).collect()}
     assert found == brute(docs, n, percent)
     assert [found[k][1] for k in (1, 2, 3, 4)] == [1, 1, 1, 4]
+
+
+def test_every_row_twice(spark):
+    """Repeated rows count once, and the texts of one doc_id are different sets."""
+    part = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    docs = {}
+    for k in range(4):  # three in four words in common: a Jaccard of 0.6
+        docs |= {10 * k + 1: part(f"s{k}_", 90) + part(f"a{k}_", 30), 10 * k + 2: part(f"s{k}_", 90) + part(f"b{k}_", 30)}
+    docs = {i: " ".join(w) for i, w in docs.items()} | {50: " ".join(part("t", 60)), 51: " ".join(part("t", 61))}
+    rows = 2 * [*docs.items(), (31, " ".join(part("t", 62))), (None, "x y z")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in jaccard.join(df, 5, 80).collect())
+    want = {i: (n, c) for i, (n, c) in brute(docs, 5, 80).items()} | {50: (56, 31), 51: (57, 31)}
+    assert {c for i, (_, c) in want.items() if i < 50} == {i for i in docs if i < 50}
+    assert found == sorted(2 * [*((str(i), n, c) for i, (n, c) in want.items()), ("31", 58, 31), ("None", 1, None)])
