@@ -9,9 +9,11 @@ text, and the words themselves (their bytes) are compared for the rest.
 
 The benchmark is the stated query side. It is taken in blocks of BLOCK windows, so
 that what a task holds is bounded whatever its size; every block meets all documents.
-With one block nothing is shuffled; with more, a document's hit ranges meet by doc_id.
+With one block nothing is shuffled; with more, a row's hit ranges meet by doc_id and MD5
+of the text, and a row that stands there several times is put out as often.
 
-Defined results: null or wordless texts have 0 words and no hits; a null or
+Defined results, whatever the number of blocks: every row gives a row, also where a doc_id
+is repeated or null, with the hits of its own text; null or wordless texts have 0 words and no hits; a null or
 wordless item has no windows; repeated windows and items all count; items
 are counted by item_id, a null one is ignored; other columns are ignored.
 """
@@ -159,8 +161,8 @@ def frequencies(documents: DataFrame, held, widths: list[int]) -> np.ndarray:
     return out
 
 
-def hits(documents: DataFrame, held, widths: list[int]) -> DataFrame:
-    """Rows (doc_id, n_words, starts, stops, items): the ranges of words that windows of the block cover."""
+def hits(documents: DataFrame, held, widths: list[int], of) -> DataFrame:
+    """Rows (doc_id, of, n_words, starts, stops, items): the ranges of words that windows of the block cover; of: a string of the row."""
 
     def run(batches):
         block = held.value
@@ -197,29 +199,38 @@ def hits(documents: DataFrame, held, widths: list[int]) -> DataFrame:
                 local = begin - w.rows[row]
                 items = [sorted({block.items[i] for i in block.owner[window[a:b]]}) for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array(np.diff(w.rows)), *(pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(x)) for x in (local, local + size)), pa.array([list(map(str, i)) for i in items], pa.list_(pa.string()))],
-                    ["doc_id", "n_words", "starts", "stops", "items"],
+                    [*(batch.column(k).slice(first, n) for k in (0, 2)), pa.array(np.diff(w.rows)), *(pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(x)) for x in (local, local + size)), pa.array([list(map(str, i)) for i in items], pa.list_(pa.string()))],
+                    ["doc_id", "of", "n_words", "starts", "stops", "items"],
                 )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words bigint, starts array<bigint>, stops array<bigint>, items array<string>")
+    return documents.select("doc_id", "text", of.alias("of")).mapInArrow(run, f"doc_id {kind}, of string, n_words bigint, starts array<bigint>, stops array<bigint>, items array<string>")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_words, n_hit, n_items, items, contaminated) of all documents (unique doc_id)."""
+    """Rows (doc_id, n_words, n_hit, n_items, items, contaminated) of all documents, one for each row."""
     sc, found = documents.sparkSession.sparkContext, None
-    for ids, texts in blocks(benchmark.select("item_id", "text")):
-        block = Block(ids, texts)
+    waiting = blocks(benchmark.select("item_id", "text"))
+    taken, n_blocks = next(waiting), 0
+    following = next(waiting, None)
+    more = following is not None
+    of = F.md5("text") if more else F.lit(None).cast("string")
+    while taken is not None:
+        block = Block(*taken)
         held = sc.broadcast(block)
         widths = sorted({int(x) for x in np.unique(block.width)})
         counted = frequencies(documents, held, widths) if len(block.vocabulary) else np.zeros(0, np.int64)
         block.prefixes(counted)
         block.window = block.offset = block.key = block.width = None
-        part = hits(documents, sc.broadcast(block), widths)
+        part = hits(documents, sc.broadcast(block), widths, of)
         found = part if found is None else found.union(part)
-        more = found is not part
+        n_blocks += 1
+        taken, following = following, next(waiting, None)
     if more:
-        found = found.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "stops", "items")))
+        # a set: the hits of repeated rows are one before they are shuffled
+        held = F.collect_set(F.when(F.size("starts") > 0, F.struct("starts", "stops", "items"))).alias("held")
+        found = found.groupBy("doc_id", "of").agg(F.first("n_words").alias("n_words"), held, F.count(F.lit(1)).alias("n_rows"))
+        found = found.select("doc_id", "n_words", *(F.flatten(f"held.{c}").alias(c) for c in ("starts", "stops", "items")), F.explode(F.sequence(F.lit(1), F.expr(f"n_rows div {n_blocks}"))))
         ranges = F.array_sort(F.arrays_zip("starts", "stops"))
     else:
         ranges = F.arrays_zip("starts", "stops")  # in order already

@@ -49,3 +49,13 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame(DOCS, "doc_id bigint, text string"), spark.createDataFrame(ITEMS, "item_id bigint, text string")
     assert d.decontaminate(docs.where("false"), items).count() == 0
     assert {r["n_hit"] for r in d.decontaminate(docs, items.where("false")).collect()} == {0}
+
+
+@pytest.mark.parametrize("block", [200_000, 8])
+def test_repeated_and_null_ids(spark, monkeypatch, block):
+    """Every row gives a row with the hits of its own text, also with several blocks of the benchmark."""
+    monkeypatch.setattr(d, "BLOCK", block)
+    rows = [*DOCS, *DOCS[:4], DOCS[0], *((None, t) for _, t in DOCS), (None, None), (2, W(0, 13)), (12, "one two three"), (12, None), (12, "")]
+    found = d.decontaminate(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), spark.createDataFrame(ITEMS, "item_id bigint, text string")).collect()
+    want = [(i, *brute([(i, t)], ITEMS)[i]) for i, t in rows]
+    assert sorted(map(str, ((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in found))) == sorted(map(str, want))
