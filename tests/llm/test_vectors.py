@@ -52,3 +52,32 @@ def test_plan_keeps_its_promise():
         hashes, tables = vectors.plan(rows, 0.98)
         near, far = vectors.same_step(0.2), vectors.same_step(math.sqrt(2))
         assert (1 - near**hashes) ** tables <= vectors.MISSED and rows * tables * far**hashes <= vectors.CHANCE
+
+
+def test_names_do_not_depend_on_the_batch():
+    x = np.random.default_rng(1).standard_normal((500, 33)).astype(np.float32).astype(np.float64)
+    whole = vectors.buckets(x, 19, 30)
+    assert all((vectors.buckets(x[k : k + 1], 19, 30) == whole[k]).all() for k in range(0, 500, 7))
+    assert (vectors.buckets(np.asfortranarray(x[::-1]), 19, 30)[::-1] == whole).all()
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "date", "array<int>"])
+def test_labels_of_any_type(spark, kind):
+    literal = {"string": "concat('l', label)", "double": "label + 0.5", "date": "date_add(date'2020-01-01', label)", "array<int>": "array(label)"}[kind]
+    rows = [(i, i % 2, [1.0, 0.0, i / 1000]) for i in range(8)] + [(8, None, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>").withColumn("label", F.expr(literal))
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df).collect()}
+    assert found == {**{i: (3, i % 2) for i in range(8)}, 8: (0, 8)}
+
+
+def test_recall_in_a_larger_label(spark):
+    """Pairs right at the threshold and far ones: at least 0.99 of all links, and of components."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((1200, 32))
+    near = base + rng.standard_normal(base.shape) * 0.19  # a cosine of about 0.98
+    x = np.concatenate([base, near]).astype(np.float32)
+    unit = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = np.triu(unit @ unit.T >= 0.98, 1).sum()
+    df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, label int, embedding array<float>")
+    found = sum(r["n_links"] for r in vectors.near_duplicates(df).select("n_links").collect()) / 2
+    assert want > 300 and 0.99 * want <= found <= want
