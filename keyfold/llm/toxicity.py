@@ -7,17 +7,20 @@ terms; the whole text counts). The score is the logistic function of
 
 over its terms, the pairwise part in linear time from the sums of v and of v
 squared; it gives weight to pairs, such as an insult with the mention of a group,
-that additive weights miss. Terms that do not tell the classes apart (z below
-MIN_Z on the training sample) have no weights, so that a long text does not drown
-in noise.
+that additive weights miss. A term has weights if it tells the classes apart by itself (z of at
+least MIN_Z on the training sample, the best TERMS) or together with another: among texts
+that hold some frequent term it shifts the share of toxic ones (z of at least PAIR_Z, the best
+PAIR_TERMS, among the FREQUENT most frequent terms). The latter finds words that tell nothing singly, as a
+group's name does, or two words of which only one, or neither, stands in toxic texts. Other terms have no
+weights, so that a long text does not drown in noise.
 
 The machine is fitted on at most SAMPLE labelled rows, about, chosen by a hash of the
 id, on the driver; equal term sets count once.
 
-Defined results: a null, empty or wordless text has the score of no terms at all;
-several labels of a doc_id: the largest counts; null labels and ids do not teach;
-with no label of both kinds every score is the share of positive labels (0 without
-labels); other columns are ignored.
+Defined results: a null, empty or wordless text has the score of no terms at all; very long texts
+count whole; repeated rows each get a row (and teach once); several labels of a doc_id: the largest counts; null
+labels and ids do not teach; with no label of both kinds every score is the share of positive labels (0 without
+labels); other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ from .common import Words, lists, mix, only_ids, save, steps, table
 SAMPLE = 12_000
 BITS, TERMS, RANK = 18, 768, 8
 MIN_Z, CUT = 3.5, 0.3
+#: Terms that are looked at in pairs, those that pairs may add, and the least z of a pair: of some million pairs hardly one gets there by chance.
+FREQUENT, PAIR_TERMS, PAIR_Z = 1536, 128, 6.5
 #: Beginnings of longer words, in bytes, that are terms too: they tell inflected forms.
 HEADS = (5, 7)
 
@@ -136,16 +141,46 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", use: Colu
     z = np.abs(pos / n1 - (counts["n"].to_numpy() - pos) / n0) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
     order = np.lexsort((counts["term"].to_numpy(), -z))[:TERMS]
     best = counts["term"].to_numpy()[order[z[order] >= MIN_Z]]
+    best = np.concatenate([best, pair_terms(sets, counts["term"].to_numpy(), counts["n"].to_numpy(), best)])
     if not len(best):
         return Machine(place, float(np.log(n1 / n0)), np.zeros(0), np.zeros((0, RANK)))
-    kept = F.array_intersect("terms", F.array(*map(F.lit, best.tolist())))
-    rows = sets.select(kept.alias("terms"), "y").toPandas()
-    held, y = [np.asarray(t, np.int64) for t in rows["terms"]], rows["y"].to_numpy(np.float64)
-    flat, row = np.concatenate(held), np.repeat(np.arange(len(held)), [len(t) for t in held])
     place[best] = np.arange(len(best))
-    x = np.zeros((len(held), len(best)), np.float32)
-    x[row, place[flat]] = 1
-    return Machine(place, *fit_machine(x, y))
+    return Machine(place, *fit_machine(*matrix(sets, best)))
+
+
+def matrix(sets: DataFrame, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sample's rows by chosen terms, 0 or 1, and their labels."""
+    place = np.full(1 << BITS, -1, np.int64)
+    place[chosen] = np.arange(len(chosen))
+    kept = F.array_intersect("terms", F.array(*map(F.lit, chosen.tolist())))
+    rows = sets.select(kept.alias("terms"), "y").toPandas()
+    held = [np.asarray(t, np.int64) for t in rows["terms"]]
+    row = np.repeat(np.arange(len(held)), [len(t) for t in held])
+    x = np.zeros((len(held), len(chosen)), np.float32)
+    x[row, place[np.concatenate([np.zeros(0, np.int64), *held])]] = 1
+    return x, rows["y"].to_numpy(np.float64)
+
+
+def pair_terms(sets: DataFrame, term: np.ndarray, count: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Terms besides the known ones that shift the share of toxic texts among those with another frequent term, and that term."""
+    often = term[np.lexsort((term, -count))][:FREQUENT]
+    if len(often) < 2:
+        return term[:0]
+    x, y = matrix(sets, often)
+    both, toxic = x.T @ x, x.T @ (x * y[:, None].astype(np.float32))  # texts with i and j, and toxic ones of them
+    n, pos = both.diagonal()[:, None], toxic.diagonal()[:, None]
+    rest, expected = n - both, pos / np.maximum(n, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gap = toxic / both - (pos - toxic) / rest
+        z = np.abs(gap) / np.sqrt(expected * (1 - expected) * (1 / both + 1 / rest))
+    # few texts on a side or one class alone say nothing
+    z[~np.isfinite(z) | (both < 8) | (rest < 8)] = 0
+    new = ~np.isin(often, known)
+    found = np.where(new[None, :], z, 0).max(0)
+    best = np.lexsort((often, -found))[:PAIR_TERMS]
+    best = best[found[best] >= PAIR_Z]
+    partners = z[:, best].argmax(0)
+    return often[[k for k in dict.fromkeys([*best, *partners]) if new[k]]]
 
 
 def score(documents: DataFrame, machine: Machine) -> DataFrame:
