@@ -1,19 +1,21 @@
 """Chat formatting with Spark expressions only.
 
-The turns of a conversation are collected as structs, sorted, and merged where
-neighbours have the same role; the blocks are joined into one string. Template::
+The turns of a conversation are collected as structs and sorted; neighbours of the same
+role are merged: the places where a role begins cut the array into blocks, each of which is joined into
+one string. Template::
 
     <s>[SYS]text[/SYS][INST]text[/INST]text</s>[ROLE:name]text[/ROLE]
 
 ``[SEP]`` divides turns merged into one block. Inside texts and role names
-``\\``, ``[`` and ``<`` become ``\\b``, ``\\l`` and ``\\g``: an escaped text holds no
+``\\``, ``[``, ``<`` and ``]`` become ``\\b``, ``\\l``, ``\\g`` and ``\\r``: an escaped text holds no
 ``[`` or ``<``, so that every such character in the output belongs to the template and
-``parse`` gets all turns back.
+``parse`` gets all turns back. Both ways take time in proportion to the text.
 
-Defined results: a null role or text is empty; turns with equal numbers are
-ordered by role, then text, and all kept; a null turn number sorts first; a null
+Defined results: a null role or text is empty; empty and very long texts are kept whole; turns with equal
+numbers are ordered by role, then text, and all kept, repeated rows too; a null turn number sorts first; a null
 conv_id is a conversation of its own; other columns are ignored; an empty table
-gives no rows.
+gives no rows. A conversation is one row of the result, so that it is put together in one task,
+however many turns it has; it has to fit there.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ from .common import table
 #: Template values. Each role: what opens and what closes its block.
 BLOCKS = {"system": ("[SYS]", "[/SYS]"), "user": ("[INST]", "[/INST]"), "assistant": ("", "</s>")}
 BEGIN, JOINT, OTHER, OTHER_END = "<s>", "[SEP]", "[ROLE:", "[/ROLE]"
-#: Any mark of the template; escaped text holds neither of the first characters.
-MARK = r"\[SYS\]|\[/SYS\]|\[INST\]|\[/INST\]|\[SEP\]|\[/ROLE\]|</s>|\[ROLE:[^\]\[<]*\]"
+#: What closes a block, and what opens one (an assistant's has no opener).
+CLOSES = r"\[/SYS\]|\[/INST\]|\[/ROLE\]|</s>"
+OPENS = r"^(?:\[SYS\]|\[INST\]|\[ROLE:[^\]\[<]*\])"
 
 
 def escape(c: Column) -> Column:
@@ -62,45 +65,33 @@ def format_chats(conversations: DataFrame) -> DataFrame:
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
     kept = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    empty = F.lit(None).cast("array<struct<role:string,texts:array<string>>>")
+    begins = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", i - 1)["role"]))
+    kept = kept.withColumn("begins", begins)
+    ends = F.concat(F.slice("begins", F.lit(2), F.size("begins")), F.array(F.size("turns")))
 
-    def merge(blocks: Column, turn: Column) -> Column:
-        last = F.try_element_at(blocks, F.lit(-1))
-        alone = F.struct(turn["role"].alias("role"), F.array(escape(turn["text"])).alias("texts"))
-        more = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(escape(turn["text"]))).alias("texts"))
-        return F.when(
-            last["role"] == turn["role"], F.concat(F.slice(blocks, F.lit(1), F.size(blocks) - 1), F.array(more))
-        ).otherwise(F.concat(blocks, F.array(alone)))
+    def block(begin: Column, end: Column) -> Column:
+        role = F.get("turns", begin)["role"]
+        texts = F.transform(F.slice("turns", begin + 1, end - begin), lambda t: escape(t["text"]))
+        return F.concat(_open(role), F.array_join(texts, JOINT), _close(role))
 
-    blocks = kept.select("conv_id", F.aggregate("turns", F.coalesce(empty, F.array().cast("array<struct<role:string,texts:array<string>>>")), merge).alias("blocks"))
-    written = F.transform("blocks", lambda b: F.concat(_open(b["role"]), F.array_join(b["texts"], JOINT), _close(b["role"])))
-    return blocks.select("conv_id", F.size("blocks").alias("n_blocks"), F.concat(F.lit(BEGIN), F.array_join(written, "")).alias("formatted"))
+    return kept.select("conv_id", F.size("begins").alias("n_blocks"), F.concat(F.lit(BEGIN), F.array_join(F.zip_with("begins", ends, block), "")).alias("formatted"))
 
 
 def parse(formatted: Column) -> Column:
     """The turns, array<struct<role, text>>, of a formatted conversation."""
     body = F.substring(formatted, len(BEGIN) + 1, 2147483647)
-    texts, marks = F.split(body, MARK, -1), F.regexp_extract_all(body, F.lit(MARK), F.lit(0))
-    openers = {start: role for role, (start, _) in BLOCKS.items() if start}
-
-    def step(acc: Column, pair: Column) -> Column:
-        # acc.role: the open block's role, null between blocks (an assistant's text then)
-        mark, text = pair["mark"], pair["text"]
-        opens = mark.isin(*openers) | mark.startswith(OTHER)
-        named = unescape(F.substring(mark, len(OTHER) + 1, F.length(mark) - len(OTHER) - 1))
-        role = named
-        for start, name in openers.items():
-            role = F.when(mark == start, F.lit(name)).otherwise(role)
-        now = F.coalesce(acc["role"], F.lit("assistant"))
-        turn = F.array(F.struct(now.alias("role"), unescape(text).alias("text")))
-        return F.struct(
-            F.when(opens, role).when(mark == JOINT, now).alias("role"),
-            F.when(opens, acc["turns"]).otherwise(F.concat(acc["turns"], turn)).alias("turns"),
-        )
-
-    pairs = F.zip_with(marks, F.slice(texts, F.lit(1), F.size(marks)), lambda m, t: F.struct(m.alias("mark"), t.alias("text")))
-    start = F.struct(F.lit(None).cast("string").alias("role"), F.array().cast("array<struct<role:string,text:string>>").alias("turns"))
-    return F.aggregate(pairs, start, step, lambda acc: acc["turns"])
+    named = {end: role for role, (_, end) in BLOCKS.items()}
+
+    def block(held: Column, mark: Column) -> Column:
+        opener = F.regexp_extract(held, OPENS, 0)
+        role = unescape(F.substring(opener, len(OTHER) + 1, F.length(opener) - len(OTHER) - 1))
+        for end, name in named.items():
+            role = F.when(mark == end, F.lit(name)).otherwise(role)
+        texts = F.split(F.substring(held, F.length(opener) + 1, F.length(held)), r"\[SEP\]", -1)
+        return F.transform(texts, lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
+
+    marks = F.regexp_extract_all(body, F.lit(CLOSES), F.lit(0))
+    return F.flatten(F.zip_with(F.slice(F.split(body, CLOSES, -1), F.lit(1), F.size(marks)), marks, block))
 
 
 def loss_texts(formatted: Column) -> Column:

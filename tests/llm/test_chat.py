@@ -43,3 +43,11 @@ def test_query(spark):
     said = "</s>[INST] ok [/INST]"
     assert found[-1][:4] == (2, hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest())
     assert chat.format_chats(spark.read.parquet(f"{sf}/conversations.parquet").where("false")).count() == 0
+
+
+def test_a_long_conversation(spark):
+    """Many turns, and one very long text: all come back."""
+    talk = [(1, k, ("user", "assistant", "user", "tool")[k * k % 4 if k % 3 else 0], f"t{k}[") for k in range(20_000)]
+    found = turns(spark, [*talk, (2, 0, "user", "[x]<" * 200_000), (2, 1, "user", "")])
+    assert [tuple(t) for t in found[1]["turns"]] == [(role, text) for _, _, role, text in talk]
+    assert [len(t["text"]) for t in found[2]["turns"]] == [800_000, 0] and found[2]["n_blocks"] == 1
