@@ -10,7 +10,8 @@ heap instead, so that no word costs quadratic time.
 
 Defined results: null text is empty (no ids, empty decoded text); the special
 token's string inside a text becomes its id, as the library does by default; rows
-are kept as they are, repeated ids included; other columns are ignored.
+are kept as they are, repeated and null ids included; a very long text is a step of its own and a very long word takes
+the heap; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

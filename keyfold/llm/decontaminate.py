@@ -13,7 +13,8 @@ With one block nothing is shuffled; with more, a row's hit ranges meet by doc_id
 of the text, and a row that stands there several times is put out as often.
 
 Defined results, whatever the number of blocks: every row gives a row, also where a doc_id
-is repeated or null, with the hits of its own text; null or wordless texts have 0 words and no hits; a null or
+is repeated or null, with the hits of its own text; null, empty or wordless texts have 0 words and no hits; a very long text
+is searched whole, in one step; an empty benchmark hits nothing, an empty table of documents gives no rows; a null or
 wordless item has no windows; repeated windows and items all count; items
 are counted by item_id, a null one is ignored; other columns are ignored.
 """

@@ -11,7 +11,7 @@ among those of y. A pair must share a prefix shingle under each of three orders:
   more than ``miss`` shingles of its own drops out (twice, as counts fall), the others
   are joined on the prefixes of this order. Documents joined so, directly or
   through others, form a group;
-* order 3, by a second hash: inside a group, blocks of at most BLOCK documents meet
+* order 3, by a second hash: inside a group (of near copies, mostly, since its documents share rare shingles), blocks of at most BLOCK documents meet
   pairwise; pairs that share prefixes of orders 1, 2 and 3 and fit in size are
   verified on the whole sets.
 
@@ -20,7 +20,8 @@ are shuffled, hot shingles never gather their documents, and a block pair emits
 most one link for each document and component found in it.
 
 Defined results: null, empty and wordless texts have no shingles and link with
-nothing (component_id is their own doc_id); repeated rows link as copies do and
+nothing (component_id is their own doc_id); very long texts count whole (a text is one numpy step, at
+some 60 bytes of memory for each of text); an empty table gives no rows; repeated rows link as copies do and
 count once; rows of one doc_id with different texts are different sets; a
 null doc_id keeps a row and links with nothing; other columns are ignored.
 """

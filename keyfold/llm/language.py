@@ -10,9 +10,11 @@ n-grams of a text, so that a text of any length is scored in one pass.
 Machines are fitted on at most SAMPLE rows of each language (chosen by a hash of
 the id, so that the choice does not depend on order), on the driver.
 
-Defined results: a null text or one without a letter is `und` with score 0; rows with
-a null language or id do not teach; with no usable row every text is `und`; other columns are
-ignored.
+Defined results: a null or empty text or one without a letter is `und` with score 0; a very long text counts
+whole; repeated rows each get a row (and each teaches); rows with
+a null language or id do not teach; with no usable row every text is `und`; equal votes go to the greater sum of
+margins, then to the language that comes first; other columns are
+ignored; an empty table gives no rows. A sampled row is 2**BITS 32-bit floats on the driver: 8 KB, SAMPLE of them for each language.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ The first occurrence always stays. Line and chunk hashes are counted with map-si
 combining, so that a line that a third of all documents share is one number; what is
 joined back is split by Spark where a hash is hot.
 
-Defined results: a null text stays null (0 lines); lines are divided by ``\\n`` and
+Defined results: a null text stays null (0 lines); a very long text is cut whole; an empty table gives no rows; lines are divided by ``\\n`` and
 compared as they are, a trailing carriage return included; an empty text is one empty
 line, which is never removed; a document of which everything is removed has the empty
 text; a repeated row (doc_id and text) is the same document and is cut like it, rows of one doc_id with

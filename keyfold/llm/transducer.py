@@ -17,7 +17,8 @@ Two deterministic transducers stand for the tokenizer:
 
 Defined results: null text counts 0 tokens and 0 bytes; the special token's string
 in a text counts 1, as the library does by default; repeated ids each get a row;
-other columns are ignored; an empty table gives no rows.
+rows without an id too; other columns are ignored; an empty table gives no rows; a very long text is counted whole, in
+steps of its own, and so is a very long word: transitions are dropped at KEPT of them, inside a word too.
 """
 
 from __future__ import annotations
@@ -182,6 +183,12 @@ class Counter:
         for b in word:
             move = moves.get(state << 8 | b)
             if move is None:
+                if len(moves) >= 2 * KEPT:  # within one word: only the state in hand is kept
+                    held = self.states[state]
+                    self.clear()
+                    moves, state = self.moves, self.ids.setdefault(held, len(self.states))
+                    if state == len(self.states):
+                        self.states.append(held)
                 move = self.compile(state, b)
             state, gain = move
             total += gain

@@ -84,3 +84,14 @@ def test_queries(spark, library):
     plain = {r["doc_id"]: r for r in bpe.encode(df, PATH).collect()}
     assert all(plain[i]["ids"] == want[i] and plain[i]["decoded"] == (t or "") for i, t, _ in rows)
     assert bpe.digests(df.where("false"), PATH).count() == transducer.token_counts(df.where("false"), PATH).count() == 0
+
+
+def test_transitions_dropped_within_a_word(monkeypatch):
+    """A word may need more transitions than are kept: the count is the same."""
+    made = transducer.Counter(bpe.vocabulary(bpe.default_path()))
+    words = [b"abcabcabdx" * 40, bytes(range(256)) * 2, b" antidisestablishmentarianism", b"x" * 300]
+    want = [made.count(w) for w in words]
+    monkeypatch.setattr(transducer, "KEPT", 4)
+    made.clear()
+    assert [made.count(w) for w in words] == want and len(made.moves) <= 9
+    assert want == [len(made.vocab.long_word(w)) for w in words]
