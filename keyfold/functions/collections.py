@@ -1,8 +1,9 @@
 """Reducers over the collections of a state.
 
 A collection is a grow-only map column (MAP<STRING, STRUCT<comparator BIGINT, payload>>)
-or an array of payloads. ``field`` takes a payload and gives a column of it: a function such as
-``lambda p: p["price"]``. Maps are read in key order, as they are stored. Where the
+or an array of payloads. ``field`` takes a payload and gives a part of it: a Value (such as
+``lambda p: v.path(p, "price")`` for a VARIANT payload, where numeric texts count as numbers) or a typed
+Column (``lambda p: p["price"]``). Maps are read in key order, as they are stored. Where the
 collection is null: list and filter give [], sum and count_distinct 0, the others null.
 """
 
@@ -13,7 +14,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Field = Callable[[Column], Column]
+from keyfold.functions import values as v
+from keyfold.functions.values import Value
+
+Field = Callable[[Column], "Column | Value"]
 
 
 def by_key(entries: Column) -> Column:
@@ -29,26 +33,47 @@ def payloads(m: Column) -> Column:
     return F.transform(sorted_entries(m), lambda e: e["value"]["payload"])
 
 
+def _column(x: Column | Value) -> Column:
+    return x.col if isinstance(x, Value) else x
+
+
+def _number(x: Column | Value) -> Column:
+    """STRUCT<exact BIGINT, real DOUBLE> of a value: integers and integer texts are exact, other numbers and texts real."""
+    if not isinstance(x, Value):  # a typed column of a kind that is not known here
+        x = Value(x.cast("string"), "string")
+    return F.struct(v.exact_long(x).alias("exact"), v.as_double(x).alias("real"))
+
+
 def _pick(items: Column, rank: Field, greatest: bool) -> Column:
-    """The item with the greatest or least rank; null ranks do not count; the first of equals stays."""
-    ranked = F.filter(F.transform(items, lambda x, i: F.struct(rank(x).alias("rank"), i.alias("i"))), lambda s: s["rank"].isNotNull())
+    """The item with the greatest or least rank; what is no number does not count; the first of equals stays.
+
+    Two integers are compared as such, so that times in nanoseconds keep their last digits.
+    """
+    ranked = F.filter(F.transform(items, lambda x, i: F.struct(_number(rank(x)).alias("rank"), i.alias("i"))), lambda s: s["rank"]["real"].isNotNull())
 
     def order(a: Column, b: Column) -> Column:
-        first = a["rank"] > b["rank"] if greatest else a["rank"] < b["rank"]
-        last = a["rank"] < b["rank"] if greatest else a["rank"] > b["rank"]
+        x, y = a["rank"], b["rank"]
+        exact = x["exact"].isNotNull() & y["exact"].isNotNull()
+        less = F.when(exact, x["exact"] < y["exact"]).otherwise(x["real"] < y["real"])
+        more = F.when(exact, x["exact"] > y["exact"]).otherwise(x["real"] > y["real"])
+        first, last = (more, less) if greatest else (less, more)
         return F.when(first, -1).when(last, 1).when(a["i"] < b["i"], -1).when(a["i"] > b["i"], 1).otherwise(0)
 
     return F.try_element_at(items, F.try_element_at(F.array_sort(ranked, order), F.lit(1))["i"] + 1)
 
 
+def _comparator(e: Column) -> Value:
+    return Value(F.coalesce(e["value"]["comparator"], F.lit(0).cast("bigint")), "long")
+
+
 def latest(m: Column) -> Column:
     """Payload of the greatest comparator of a map (missing: 0); equal ones: the first in key order."""
-    return _pick(sorted_entries(m), lambda e: F.coalesce(e["value"]["comparator"], F.lit(0)), True)["value"]["payload"]
+    return _pick(sorted_entries(m), _comparator, True)["value"]["payload"]
 
 
 def first(m: Column) -> Column:
     """Payload of the least comparator of a map, likewise."""
-    return _pick(sorted_entries(m), lambda e: F.coalesce(e["value"]["comparator"], F.lit(0)), False)["value"]["payload"]
+    return _pick(sorted_entries(m), _comparator, False)["value"]["payload"]
 
 
 def latest_by(items: Column, field: Field) -> Column:
@@ -69,28 +94,71 @@ def count(collection: Column) -> Column:
     return F.when(collection.isNotNull(), F.size(collection).cast("bigint"))
 
 
-def total(items: Column, field: Field) -> Column:
-    """Exact sum of an integer field (saturating), or double sum; nulls are skipped, nothing gives 0."""
-    return F.coalesce(F.aggregate(items, F.lit(0).cast("decimal(38,0)"), lambda a, x: F.coalesce(F.try_add(a, field(x).cast("decimal(20,0)")).cast("decimal(38,0)"), a)), F.lit(0)).try_cast("bigint")
+_WIDE = "decimal(38,0)"
+
+
+def _wide_sum(items: Column, integer: Field) -> Column:
+    """Exact sum of 64-bit integers; more than 10**18 of them would be needed to leave 38 digits."""
+    return F.aggregate(items, F.lit(0).cast(_WIDE), lambda a, x: F.coalesce(F.try_add(a, integer(x).cast("decimal(19,0)")).cast(_WIDE), a))
+
+
+def total(items: Column, field: Field) -> Value:
+    """Sum as a VARIANT: an integer if all numbers are integers (or texts of such) and the sum fits in 64 bits, else a double.
+
+    What is no number is skipped; nothing gives 0.
+    """
+    numbers = F.transform(items, lambda p: _number(field(p)))
+
+    def summed(held: Column) -> Column:
+        whole = _wide_sum(held, lambda s: s["exact"])
+        rest = F.aggregate(held, F.lit(0.0), lambda a, s: a + F.when(s["exact"].isNull(), F.coalesce(s["real"], F.lit(0.0))).otherwise(F.lit(0.0)))
+        mixed = F.exists(held, lambda s: s["exact"].isNull() & s["real"].isNotNull())
+        fits = whole.between(v.LEAST, v.MOST)
+        exact = F.when(~mixed & fits, whole).try_cast("bigint")
+        return F.when(exact.isNotNull(), exact.cast("variant")).otherwise((whole.cast("double") + rest).cast("variant"))
+
+    return Value(v.bind(F.coalesce(numbers, F.array()), summed), "variant")
+
+
+def total_long(items: Column, field: Field) -> Column:
+    """Sum of a typed integer field, saturating; nulls are skipped, nothing gives 0."""
+    least, most = (F.lit(x).cast(_WIDE) for x in (v.LEAST, v.MOST))
+    return F.greatest(least, F.least(most, F.coalesce(_wide_sum(items, lambda p: _column(field(p))), F.lit(0).cast(_WIDE)))).cast("bigint")
 
 
 def total_double(items: Column, field: Field) -> Column:
-    return F.coalesce(F.aggregate(items, F.lit(0.0), lambda a, x: a + F.coalesce(field(x).cast("double"), F.lit(0.0))), F.lit(0.0))
+    return F.coalesce(F.aggregate(items, F.lit(0.0), lambda a, x: a + F.coalesce(_column(field(x)).cast("double"), F.lit(0.0))), F.lit(0.0))
 
 
 def least(items: Column, field: Field) -> Column:
-    return F.array_min(F.filter(F.transform(items, field), lambda v: v.isNotNull()))
+    """The least field; of Values the least number, as it stands."""
+    return _extreme(items, field, False)
 
 
 def greatest(items: Column, field: Field) -> Column:
-    return F.array_max(F.filter(F.transform(items, field), lambda v: v.isNotNull()))
+    return _extreme(items, field, True)
+
+
+def _extreme(items: Column, field: Field, most: bool) -> Column:
+    kind: list[str | None] = []
+
+    def part(p: Column) -> Column:
+        x = field(p)
+        kind.append(x.kind if isinstance(x, Value) else None)
+        return _column(x)
+
+    held = F.transform(items, part)
+    if kind[-1] in ("variant", "string"):
+        return _pick(held, lambda c: Value(c, kind[-1]), most)
+    return (F.array_max if most else F.array_min)(F.filter(held, lambda c: c.isNotNull()))
 
 
 def only(items: Column, test: Field) -> Column:
-    """Payloads that pass the test."""
-    return F.coalesce(F.filter(items, test), F.array())
+    """Payloads that pass the test (a boolean Column, or a Value that counts by its truth)."""
+    return F.coalesce(F.filter(items, lambda p: v.truthy(x) if isinstance(x := test(p), Value) else x), F.array())
 
 
 def count_distinct(items: Column, field: Field) -> Column:
-    """Exact distinct non-null values of a field."""
-    return F.coalesce(F.size(F.array_distinct(F.filter(F.transform(items, field), lambda v: v.isNotNull()))), F.lit(0)).cast("bigint")
+    """Exact distinct non-null values of a field; 1 and 1.0 are one value, 1 and "1" are two."""
+    part = lambda p: v.canonical(x) if isinstance(x := field(p), Value) else x
+    return F.coalesce(F.size(F.array_distinct(F.filter(F.transform(items, part), lambda c: c.isNotNull()))), F.lit(0)).cast("bigint")

@@ -48,11 +48,16 @@ def lit(x: bool | int | float | str | None) -> Value:
 
 def column(name: str, data_type: str) -> Value:
     """A column by name and Spark type (simple string)."""
+    return column_of(F.col(name), data_type, name)
+
+
+def column_of(c: Column, data_type: str, name: str = "") -> Value:
+    """A Column of a Spark type (simple string)."""
     kinds = {"boolean": "bool", "tinyint": "long", "smallint": "long", "int": "long", "bigint": "long", "float": "double", "double": "double", "string": "string", "variant": "variant"}
     kind = kinds.get(data_type)
     if kind is None:
         raise ValueError(f"column {name}: no value kind for {data_type}")
-    return Value(F.col(name).cast({"long": "bigint", "double": "double"}.get(kind, data_type)), kind)
+    return Value(c.cast({"long": "bigint", "double": "double"}.get(kind, data_type)), kind)
 
 
 def bind(c: Column, f: Callable[[Column], Column]) -> Column:
@@ -84,8 +89,8 @@ def once(f):
 
 
 def json_type(v: Column) -> Column:
-    """Upper-case type name inside a variant; null for SQL NULL."""
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    """Type inside a variant as Spark writes it (`BIGINT`, `DECIMAL(3,1)`, `OBJECT<...>`); null for SQL NULL."""
+    return F.schema_of_variant(v)
 
 
 def present(v: Column) -> Column:
@@ -99,8 +104,16 @@ def path(v: Column, dotted: str) -> Value:
     return Value(present(F.try_variant_get(v, f"${quoted}", "variant")), "variant")
 
 
+#: Types of the numbers that a parsed JSON text or a cast can hold, besides DECIMAL(p,s).
+NUMBERS = ("BIGINT", "DOUBLE", "INT", "SMALLINT", "TINYINT", "FLOAT")
+
+
 def _is_number(v: Column) -> Column:
-    return json_type(v).isin("BIGINT", "DOUBLE", "DECIMAL", "INT", "SMALLINT", "TINYINT", "FLOAT")
+    return _number_type(json_type(v))
+
+
+def _number_type(t: Column) -> Column:
+    return t.isin(*NUMBERS) | t.startswith("DECIMAL")
 
 
 @once
@@ -125,6 +138,17 @@ def as_double(x: Value) -> Column:
     return _number_text(x.col) if x.kind == "string" else F.lit(None).cast("double")
 
 
+@once
+def exact_long(x: Value) -> Column:
+    """The integer that a value is or writes; null for fractions (whole ones too) and anything else."""
+    if x.kind == "variant":
+        whole, text = F.try_variant_get(x.col, "$", "bigint"), F.try_variant_get(x.col, "$", "string")
+        return bind(json_type(x.col), lambda t: F.when(t == "BIGINT", whole).when(t == "STRING", trim_white(text).try_cast("bigint")))
+    if x.kind == "string":
+        return trim_white(x.col).try_cast("bigint")
+    return x.col if x.kind == "long" else F.lit(None).cast("bigint")
+
+
 def clamp(x: Column) -> Column:
     """A double as a 64-bit integer: cut off, saturating, NaN as 0."""
     return bind(x, _clamped)
@@ -144,8 +168,9 @@ def as_long(x: Value) -> Column:
     if x.kind == "string":
         return bind(trim_white(x.col), lambda t: F.coalesce(t.try_cast("bigint"), clamp(_number_text(t))))
     if x.kind == "variant":
-        exact = F.when(json_type(x.col) == "BIGINT", F.try_variant_get(x.col, "$", "bigint"))
-        return F.coalesce(exact, F.when(_is_number(x.col), clamp(F.try_variant_get(x.col, "$", "double"))), as_long(Value(strict_text(x), "string")))
+        whole, number = F.try_variant_get(x.col, "$", "bigint"), F.try_variant_get(x.col, "$", "double")
+        text = F.try_variant_get(x.col, "$", "string")
+        return bind(json_type(x.col), lambda t: F.when(t == "BIGINT", whole).when(_number_type(t), clamp(number)).when(t == "STRING", as_long(Value(text, "string"))))
     return F.lit(None).cast("bigint")
 
 
@@ -162,8 +187,8 @@ def truthy(x: Value) -> Column:
     elif x.kind == "string":
         out = x.col != ""
     else:
-        t = json_type(x.col)
-        out = F.when(t == "BOOLEAN", F.try_variant_get(x.col, "$", "boolean")).when(t == "STRING", F.try_variant_get(x.col, "$", "string") != "").when(_is_number(x.col), F.try_variant_get(x.col, "$", "double") != 0).otherwise(t != "VOID")
+        flag, text, number = (F.try_variant_get(x.col, "$", kind) for kind in ("boolean", "string", "double"))
+        out = bind(json_type(x.col), lambda t: F.when(t == "BOOLEAN", flag).when(t == "STRING", text != "").when(_number_type(t), number != 0).otherwise(t != "VOID"))
     return F.coalesce(out, F.lit(False))
 
 
@@ -187,7 +212,7 @@ def equal(a: Value, b: Value) -> Value:
     elif a.kind in numeric and b.kind in numeric:
         out = a.col.cast("double").eqNullSafe(b.col.cast("double"))
     elif "variant" in (a.kind, b.kind):
-        out = _canonical(a).eqNullSafe(_canonical(b))
+        out = canonical(a).eqNullSafe(canonical(b))
     else:
         out = a.col.isNull() & b.col.isNull()
     return Value(out, "bool")
@@ -198,7 +223,7 @@ def unequal(a: Value, b: Value) -> Value:
 
 
 @once
-def _canonical(x: Value) -> Column:
+def canonical(x: Value) -> Column:
     """JSON text that equal values share; whole numbers print alike as integer and float."""
     if x.kind == "variant":
         whole = F.try_variant_get(x.col, "$", "double")
@@ -227,7 +252,7 @@ def choose(condition: Value, then: Value, other: Value) -> Value:
 
 
 def to_variant(x: Value) -> Column:
-    return x.col if x.kind == "variant" else F.try_parse_json(_canonical(x))
+    return x.col if x.kind == "variant" else F.try_parse_json(canonical(x))
 
 
 # ------------------------------------------------------------------ texts and numbers
@@ -291,8 +316,8 @@ def concat(*parts: Value) -> Value:
 def as_text(x: Value) -> Column:
     """A scalar's text: strings, numbers and booleans."""
     if x.kind == "variant":
-        scalar = _is_number(x.col) | (json_type(x.col) == "BOOLEAN")
-        return F.coalesce(strict_text(x), F.when(scalar, F.to_json(x.col)))
+        text = F.try_variant_get(x.col, "$", "string")
+        return bind(json_type(x.col), lambda t: F.when(t == "STRING", text).when(_number_type(t) | (t == "BOOLEAN"), F.to_json(x.col)))
     return x.col.cast("string")
 
 
@@ -300,7 +325,8 @@ def as_text(x: Value) -> Column:
 def key_text(x: Value) -> Column:
     """A key: a meaningful string as it is, or a number's text; else null."""
     if x.kind == "variant":
-        return F.coalesce(meaningful(Value(strict_text(x), "string")).col, F.when(_is_number(x.col), F.to_json(x.col)))
+        text = F.try_variant_get(x.col, "$", "string")
+        return bind(json_type(x.col), lambda t: F.when(t == "STRING", meaningful(Value(text, "string")).col).when(_number_type(t), F.to_json(x.col)))
     if x.kind == "string":
         return meaningful(x).col
     return x.col.cast("string") if x.kind in ("long", "double") else F.lit(None).cast("string")

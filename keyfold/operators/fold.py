@@ -1,17 +1,12 @@
 """Grouped fold of admitted events into one state row for each session.
 
-Every strategy is an aggregate with partial and final steps, so that a hot session is
-combined before it is shuffled. All plain fields are folded in one `groupBy`. A grouped
-map is folded by (session, entry) first, which spreads a hot session over its
-entries, then gathered to a map; its entries are the size of the state itself. Fields of equal payload
-type share that pass.
-
-State columns: latest_by STRUCT<comparator BIGINT, payload>, grouped_map MAP<STRING, STRUCT<...>>,
-last_seen and write_once the value, counter BIGINT. Arrival order is the column `seq`
-(anything orderable, unique in a session).
-
-A latest_by takes part with {0, null} for a record that its gate turns away: such
-a record, if newer, erases a payload whose comparator is 0 or less. That is the defined result.
+An event becomes one row for the plain fields and one for each map entry that it touches. Rows are
+aggregated by (session, field, entry), with a partial step before the shuffle, so that a hot session
+is combined where it is read and spreads over its entries; a second aggregate gathers a
+session's fields, which are the size of the state itself. The input is read once. Without
+map fields one aggregate by session does.
+
+Arrival order is the column `seq` (anything orderable, unique in a session).
 """
 
 from __future__ import annotations
@@ -19,134 +14,73 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.functions import values as v
-from keyfold.functions.collections import by_key, sorted_entries
-
 from .ingest import Record
-from .schema import Counter, GroupedMap, LastSeen, LatestBy, Schema, WriteOnce
-
-MOST = v.MOST
-
-
-def _gate(when, record: Record) -> Column:
-    return F.lit(True) if when is None else v.truthy(when(record))
+from .made import once
+from .schema import Schema
+from .strategies import GroupedMap
 
 
-def comparator(slot: LatestBy, record: Record) -> Column:
-    """Nanoseconds or any integer; 0 where it does not parse."""
-    return F.coalesce(v.parse_time(slot.comparator(record)).col, F.lit(0).cast("bigint"))
-
-
-def payload(slot: LatestBy, record: Record) -> Column:
-    return record.root() if slot.payload is None else slot.payload(record).col
+def contributions(events: DataFrame, schema: Schema, record: Record, made: dict | None = None) -> DataFrame:
+    """One row for each event: session_key, seq, and what it adds to each field."""
+    added = once(made, "adds", lambda: [s.adds(record).alias(n) for n, s in schema.fields.items()])
+    return events.select("session_key", "seq", *added)
 
 
-def contributions(events: DataFrame, schema: Schema, record: Record) -> DataFrame:
-    """One row for each event: session_key, seq, and what it adds to each field."""
-    out = []
-    for name, s in schema.fields.items():
-        gate = _gate(s.when, record)
-        if isinstance(s, LatestBy):
-            out.append(F.struct(F.when(gate, comparator(s, record)).otherwise(F.lit(0).cast("bigint")).alias("comparator"), F.when(gate, payload(s, record)).alias("payload")).alias(name))
-        elif isinstance(s, GroupedMap):
-            entry = F.when(gate, v.key_text(s.key(record)))
-            out.append(F.struct(entry.alias("entry"), comparator(s.value, record).alias("comparator"), payload(s.value, record).alias("payload")).alias(name))
-        elif isinstance(s, Counter):
-            out.append(gate.alias(name))
-        else:
-            out.append(F.when(gate, v.meaningful(s.value(record)).col).alias(name))
-    return events.select("session_key", "seq", *out)
-
-
-def _plain(schema: Schema) -> list[Column]:
-    out = []
-    for name, s in schema.fields.items():
-        if isinstance(s, LatestBy):
-            out.append(F.max_by(name, F.struct(F.col(f"{name}.comparator"), F.col("seq"))).alias(name))
-        elif isinstance(s, LastSeen):
-            out.append(F.max_by(name, F.when(F.col(name).isNotNull(), F.col("seq"))).alias(name))
-        elif isinstance(s, WriteOnce):
-            out.append(F.min_by(name, F.when(F.col(name).isNotNull(), F.col("seq"))).alias(name))
-        elif isinstance(s, Counter):
-            out.append(F.count_if(name).alias(name))
-    return out
-
-
-def entries_to_map(entries: Column) -> Column:
-    """A map of collected (entry, value) structs in key order."""
-    return F.map_from_entries(by_key(entries))
-
-
-def _maps(each: DataFrame, names: list[str]) -> DataFrame:
-    """Rows (session_key, a map column for each name) of the sessions that have entries."""
-    slots = F.array(*(F.struct(F.lit(n).alias("field"), F.col(f"{n}.entry").alias("entry"), F.col(f"{n}.comparator").alias("comparator"), F.col(f"{n}.payload").alias("payload")) for n in names))
-    rows = each.select("session_key", "seq", F.inline(slots)).where("entry IS NOT NULL")
-    best = rows.groupBy("session_key", "field", "entry").agg(F.max_by(F.struct("comparator", "payload"), F.struct("comparator", "seq")).alias("value"))
-    held = [entries_to_map(F.collect_list(F.when(F.col("field") == n, F.struct(F.col("entry").alias("key"), "value")))).alias(n) for n in names]
-    return best.groupBy("session_key").agg(*held)
-
-
-def fold(events: DataFrame, schema: Schema, variant: str | None = None) -> DataFrame:
+def fold(events: DataFrame, schema: Schema, variant: str | None = None, also: dict[str, Column] | None = None, made: dict | None = None) -> DataFrame:
     """One row for each session of admitted events with `session_key` and `seq`: the local state.
 
     A latest_by that nothing was admitted to is {0, null} here, since it still has to meet
-    the stored one; `elide` removes it. An empty map is null.
+    the stored one; `elided` removes it. An empty map is null. `also` names more aggregates over
+    the events of a session (of `seq`), which follow the fields. `made` keeps the columns for the
+    next batch of the same kind.
     """
     record = Record(None, variant) if variant else Record(events.schema)
-    each = contributions(events, schema, record)
-    out = each.groupBy("session_key").agg(*(_plain(schema) or [F.count(F.lit(1)).alias("_n")]))
-    by_type: dict[str, list[str]] = {}
-    for name, s in schema.fields.items():
-        if isinstance(s, GroupedMap):
-            by_type.setdefault(each.schema[name].dataType["payload"].dataType.simpleString(), []).append(name)
-    for names in by_type.values():
-        out = out.join(_maps(each, names), "session_key", "left")
-    return out.select("session_key", *(F.when(F.size(n) > 0, F.col(n)).alias(n) if isinstance(s, GroupedMap) else n for n, s in schema.fields.items()))
-
-
-def newer(stored: Column, local: Column) -> Column:
-    """Of two latest_by slots the greater comparator; of equal ones the local, newer one."""
-    return F.when(stored.isNull() | (local["comparator"] >= stored["comparator"]), F.coalesce(local, stored)).otherwise(F.coalesce(stored, local))
-
-
-def merge_field(strategy, stored: Column, local: Column) -> Column:
-    """Stored (older) and local (newer) state of one field."""
-    if isinstance(strategy, LatestBy):
-        return newer(stored, local)
-    if isinstance(strategy, GroupedMap):
-        both = F.map_from_entries(sorted_entries(F.map_zip_with(stored, local, lambda _, a, b: newer(a, b))))
-        return F.when(stored.isNull(), local).when(local.isNull(), stored).otherwise(both)
-    if isinstance(strategy, LastSeen):
-        return F.coalesce(local, stored)
-    if isinstance(strategy, WriteOnce):
-        return F.coalesce(stored, local)
-    a, b = F.coalesce(stored, F.lit(0).cast("bigint")), F.coalesce(local, F.lit(0).cast("bigint"))
-    return F.coalesce(F.try_add(a, b), F.lit(MOST))
-
-
-def elide(strategy, c: Column) -> Column:
-    """Identity elements as null: {0, null} slots (in maps too), a count of 0."""
-    idle = lambda slot: (slot["comparator"] == 0) & slot["payload"].isNull()
-    if isinstance(strategy, LatestBy):
-        return F.when(~idle(c), c)
-    if isinstance(strategy, GroupedMap):
-        kept = F.map_filter(c, lambda _, slot: ~idle(slot))
-        return F.when(c.isNotNull(), kept)
-    return F.when(c != 0, c) if isinstance(strategy, Counter) else c
+    each, also = contributions(events, schema, record, made), also or {}
+    maps = [n for n, s in schema.fields.items() if isinstance(s, GroupedMap)]
+    plain = once(made, "plain", lambda: {n: s.combined(F.col(n), F.col("seq")) for n, s in schema.fields.items() if n not in maps}) | also
+    aggregates = [c.alias(n) for n, c in plain.items()]
+    if not maps:
+        return each.groupBy("session_key").agg(*(aggregates or [F.count(F.lit(1)).alias("_n")])).select("session_key", *plain)
+    kinds = {n: each.schema[n].dataType["payload"].dataType.simpleString() for n in maps}
+    payloads = {kind: f"payload_{k}" for k, kind in enumerate(dict.fromkeys(kinds.values()))}
+
+    def slot(name: str | None) -> Column:
+        """A row of the exploded event: of one map field, or (None) of the plain ones."""
+        at = (lambda part: F.col(f"{name}.{part}")) if name else (lambda part: F.lit(None))
+        held = [(at("payload") if name and kinds[name] == kind else F.lit(None)).cast(kind).alias(p) for kind, p in payloads.items()]
+        return F.struct(F.lit(name).cast("string").alias("field"), at("entry").cast("string").alias("entry"), at("comparator").cast("bigint").alias("comparator"), *held)
+
+    own = [n for n in schema.fields if n not in maps]
+    slots = once(made, "slots", lambda: F.inline(F.array(slot(None), *map(slot, maps))))
+    rows = each.select("session_key", "seq", *own, slots).where("field IS NULL OR entry IS NOT NULL")
+    rows = rows.withColumns(once(made, "own", lambda: {n: F.when(F.col("field").isNull(), F.col(n)) for n in own}))
+    best = once(made, "best", lambda: [F.max_by(F.struct("comparator", F.col(p).alias("payload")), F.struct("comparator", "seq")).alias(p) for p in payloads.values()])
+    parts = rows.groupBy("session_key", "field", "entry").agg(*aggregates, *best)
+
+    def collected(name: str) -> Column:
+        entry = F.struct(F.col("entry").alias("key"), F.col(payloads[kinds[name]]).alias("value"))
+        return schema.fields[name].collected(F.when(F.col("field") == name, entry)).alias(name)
+
+    one = [F.first(F.when(F.col("field").isNull(), F.struct(*plain)), ignorenulls=True).alias("plain")] if plain else []
+    out = parts.groupBy("session_key").agg(*one, *once(made, "maps", lambda: [collected(n) for n in maps]))
+    named = {n: F.when(F.size(n) > 0, F.col(n)) if n in maps else F.col(f"plain.{n}") for n in [*schema.fields, *also]}
+    return out.select("session_key", *(c.alias(n) for n, c in named.items()))
 
 
 def elided(state: DataFrame, schema: Schema) -> DataFrame:
-    return state.select("session_key", *(elide(s, F.col(n)).alias(n) for n, s in schema.fields.items()))
+    """Fields that say nothing as null: {0, null} slots (in maps too), a count of 0."""
+    return state.select("session_key", *(s.kept(F.col(n)).alias(n) for n, s in schema.fields.items()))
 
 
-def merge(stored: DataFrame, local: DataFrame, schema: Schema) -> DataFrame:
-    """Rows (session_key, old STRUCT, new STRUCT) of the sessions of `local`.
+def merge(stored: DataFrame, local: DataFrame, schema: Schema, made: dict | None = None) -> DataFrame:
+    """Rows (session_key, old STRUCT, new STRUCT) of the sessions of `local`; other columns of `local` follow.
 
     `stored` is the elided state before (old is null for a new session); `new` is the
     elided state after.
     """
     names = list(schema.fields)
+    more = [n for n in local.columns if n not in ("session_key", *names)]
     before = stored.select("session_key", F.struct(*names).alias("old"))
-    after = local.select("session_key", F.struct(*names).alias("local")).join(before, "session_key", "left")
-    new = F.struct(*(elide(s, merge_field(s, F.col(f"old.{n}"), F.col(f"local.{n}"))).alias(n) for n, s in schema.fields.items()))
-    return after.select("session_key", "old", new.alias("new"))
+    after = local.select("session_key", F.struct(*names).alias("local"), *more).join(before, "session_key", "left")
+    new = once(made, "new", lambda: F.struct(*(s.kept(s.merged(F.col(f"old.{n}"), F.col(f"local.{n}"))).alias(n) for n, s in schema.fields.items())))
+    return after.select("session_key", "old", new.alias("new"), *more)

@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 from keyfold.functions import values as v
 from keyfold.functions.values import Value
 
+from .made import once
 from .schema import Accept, Schema, alternatives, key_segments
 
 ADMITTED, FILTERED, MALFORMED = "admitted", "filtered", "malformed"
@@ -87,14 +88,19 @@ def parse_records(raw: DataFrame, payload: str = "value", into: str = "record")
     return raw.withColumn(into, F.when((text != "") & again.isNotNull() & (F.size(again.try_cast("array<variant>")) == 1), parsed))
 
 
-def tag(events: DataFrame, schema: Schema, variant: str | None = None) -> DataFrame:
+def tag(events: DataFrame, schema: Schema, variant: str | None = None, made: dict | None = None) -> DataFrame:
     """Adds `tag` and `session_key` to every event; `variant` names a raw record's column."""
-    record = Record(None, variant) if variant else Record(events.schema)
-    good = admit(schema.accept, record) & session_key(schema.primary_key, record).isNotNull()
-    label = F.when(good, ADMITTED).otherwise(FILTERED)
-    if variant:
-        label = F.when(F.col(variant).isNull(), MALFORMED).otherwise(label)
-    return events.withColumns({"tag": label, "session_key": F.when(good, session_key(schema.primary_key, record))})
+
+    def build() -> dict[str, Column]:
+        record = Record(None, variant) if variant else Record(events.schema)
+        key = F.when(admit(schema.accept, record), session_key(schema.primary_key, record))
+        label = F.when(F.col("session_key").isNotNull(), ADMITTED).otherwise(FILTERED)
+        if variant:
+            label = F.when(F.col(variant).isNull(), MALFORMED).otherwise(label)
+        return {"session_key": key, "tag": label}
+
+    held = once(made, "tag", build)
+    return events.withColumns({"session_key": held["session_key"]}).withColumns({"tag": held["tag"]})
 
 
 def admitted(events: DataFrame, schema: Schema, variant: str | None = None) -> DataFrame:

@@ -8,13 +8,15 @@ Expressions are functions from a scope to a ``Value`` (or a Column with a kind),
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Protocol
 
-from keyfold.functions.values import Value
+from .strategies import Counter, Expr, GroupedMap, LastSeen, LatestBy, Strategy, WriteOnce
 
-#: scope -> Value
-Expr = Callable[["object"], Value]
+__all__ = [
+    "Accept", "Counter", "Expr", "GroupedMap", "LastSeen", "LatestBy", "Projection", "Retention", "Schema", "SchemaError", "Strategy", "Stream", "Transformer", "WriteOnce",
+    "alternatives", "key_segments",
+]
 
 
 class SchemaError(ValueError):
@@ -35,7 +37,7 @@ def key_segments(template: str) -> list[str | list[str]]:
         elif found := alternatives(hole):
             out.append(found)
         else:
-            raise SchemaError(f"key template {template!r} has an empty hole: every record would be dropped")
+            raise SchemaError(f"{template!r}: the braces name no path, so that no record could have a key (empty hole)")
     return out
 
 
@@ -51,50 +53,6 @@ class Accept:
     tenant_path: str = "log.tenant_id"
 
 
-@dataclass(frozen=True)
-class LatestBy:
-    """The payload with the greatest comparator; of equal ones the newer."""
-
-    comparator: Expr
-    payload: Expr | None = None
-    when: Expr | None = None
-
-
-@dataclass(frozen=True)
-class GroupedMap:
-    """A growing map: each key has a LatestBy slot of its own."""
-
-    key: Expr
-    value: LatestBy
-    when: Expr | None = None
-
-
-@dataclass(frozen=True)
-class LastSeen:
-    """The last meaningful value by arrival."""
-
-    value: Expr
-    when: Expr | None = None
-
-
-@dataclass(frozen=True)
-class WriteOnce:
-    """The first meaningful value, kept for good."""
-
-    value: Expr
-    when: Expr | None = None
-
-
-@dataclass(frozen=True)
-class Counter:
-    """Admitted records (that pass the gate), saturating."""
-
-    when: Expr | None = None
-
-
-Strategy = LatestBy | GroupedMap | LastSeen | WriteOnce | Counter
-
-
 @dataclass(frozen=True)
 class Schema:
     aggregate: str
@@ -114,11 +72,9 @@ class Schema:
             wrong.append(str(e))
         for name, strategy in self.fields.items():
             if not isinstance(strategy, Strategy):
-                wrong.append(f"field {name}: {type(strategy).__name__} is no strategy (nested state is not supported)")
-            elif isinstance(strategy, GroupedMap) and not isinstance(strategy.value, LatestBy):
-                wrong.append(f"field {name}: a grouped map holds latest-by slots only")
-            elif isinstance(strategy, GroupedMap) and strategy.value.when is not None:
-                wrong.append(f"field {name}: the inner slot must not have a gate of its own")
+                wrong.append(f"field {name}: {type(strategy).__name__} is no strategy (a state has one level)")
+            else:
+                wrong += [f"field {name}: {what}" for what in strategy.problems()]
         if wrong:
             raise SchemaError(f"[schema {self.aggregate}] " + "; ".join(wrong))
 
@@ -136,8 +92,9 @@ class Retention:
 class Stream:
     """An output stream: gate, one row (columns) or a row for each entry (explode, each), key, retention.
 
-    `lookups` names values of enrichment tables, (table, key expression); columns and key read them
-    with `scope.lookup(name)`. A gate cannot: it is decided before.
+    `lookups` names values of enrichment tables, (table, key expression); columns, key and gate read them
+    with `scope.lookup(name)`. A gate reads those whose key comes from the state alone, not from the
+    exploded entry.
     """
 
     name: str
@@ -152,6 +109,11 @@ class Stream:
     sign_flag: bool = True
     lookups: dict[str, tuple[str, Expr]] = field(default_factory=dict)
 
+    def deltas(self, states, now, enrichment=None, exact_ids: bool = False):
+        from .transition import render
+
+        return render(states, self, now, exact_ids, enrichment)
+
     def problems(self) -> list[str]:
         row = self.each if self.explode else self.columns
         retention = self.retention
@@ -167,9 +129,25 @@ class Stream:
         return [f"[stream {self.name}] {what}" for failed, what in checks if failed]
 
 
+class Projection(Protocol):
+    """What a transformer holds: a Stream, or anything of your own that turns states into deltas.
+
+    `deltas(states, now, enrichment)` gets rows (session_key, old, new, causation_*) and gives
+    the columns that `transition.render` gives.
+    """
+
+    name: str
+    topic: str
+    lookups: dict
+
+    def problems(self) -> list[str]: ...
+
+    def deltas(self, states, now, enrichment=None): ...
+
+
 @dataclass(frozen=True)
 class Transformer:
-    streams: tuple[Stream, ...]
+    streams: tuple[Projection, ...]
     version: int = 1
 
     def __post_init__(self) -> None:

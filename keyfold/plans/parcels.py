@@ -1,86 +1,91 @@
-"""A worked declaration: device sessions from events of several shapes."""
+"""A worked declaration: parcels followed by what depots, customs and billing say about them.
+
+Three shapes of event meet in one session: bookings (`kind`, fields at the top), scans (`scan.*`)
+and charges (`charge.*`, amounts as numbers or texts).
+"""
 
 from __future__ import annotations
 
 from keyfold.functions import collections as c
 from keyfold.functions import values as v
-from keyfold.operators.schema import Accept, Counter, GroupedMap, LatestBy, Retention, Schema, Stream, Transformer
-
-
-def _is(name: str):
-    return lambda r: v.equal(r["log_type"], v.lit(name))
-
+from keyfold.operators.schema import Accept, Counter, GroupedMap, LastSeen, LatestBy, Retention, Schema, Stream, Transformer, WriteOnce
 
-def _by_modified(**more) -> LatestBy:
-    return LatestBy(comparator=lambda r: v.parse_time(r["log.modified_at"]), payload=lambda r: r["log"], **more)
 
+def _kind(*names: str):
+    def test(r):
+        out = v.equal(r["kind"], v.lit(names[0]))
+        for n in names[1:]:
+            out = v.either(out, v.equal(r["kind"], v.lit(n)))
+        return out
 
-def _entries(log_type: str, key: str) -> GroupedMap:
-    return GroupedMap(key=lambda r: v.meaningful(r[key]), value=_by_modified(), when=_is(log_type))
+    return test
 
 
 SCHEMA = Schema(
-    aggregate="device",
-    version=3,
-    id_type="device_site",
-    primary_key="{device_id|log.device_id}-{site_id|log.site_id}",
+    aggregate="parcel",
+    version=1,
+    id_type="parcel",
+    primary_key="{parcel|scan.parcel|charge.parcel}",
     accept=Accept(
-        require=("device_id|log.device_id", "site_id|log.site_id"),
-        reject_if_contains="undefined",
-        event_types=("device_profile", "reading", "status_change", "alert", "ProvisionDevice", "Reboot"),
-        event_type_path="log_type|api_flow|flow",
-        tenants=("public",),
-        tenant_path="log.org_id|org_id",
+        require=("parcel|scan.parcel|charge.parcel",),
+        reject_if_contains="TEST",
+        event_types=("booked", "rebooked", "scanned", "charged"),
+        event_type_path="kind",
+        tenants=("north", "south"),
+        tenant_path="network|scan.network|charge.network",
     ),
     fields={
-        "device_profile": _by_modified(when=_is("device_profile")),
-        "reading_object": _entries("reading", "log.reading_id"),
-        "status_change_object": _entries("status_change", "log.change_id"),
-        "alert_object": _entries("alert", "log.alert_id"),
-        "command_event_object": GroupedMap(
-            key=lambda r: v.meaningful(r["created_at_timestamp"]),
-            value=LatestBy(comparator=lambda r: v.parse_time(r["created_at_timestamp"])),
-            when=lambda r: v.either(v.equal(r["api_flow"], v.lit("ProvisionDevice")), v.equal(r["flow"], v.lit("Reboot"))),
+        "booking": LatestBy(comparator=lambda r: r["revision"], when=_kind("booked", "rebooked")),
+        "sender": WriteOnce(value=lambda r: r["sender"]),
+        "courier": LastSeen(value=lambda r: r["scan.courier"], when=_kind("scanned")),
+        "depots": GroupedMap(
+            key=lambda r: r["scan.depot"],
+            value=LatestBy(comparator=lambda r: v.parse_time(r["scan.at"], "rfc3339"), payload=lambda r: r["scan"]),
+            when=_kind("scanned"),
         ),
-        "event_count": Counter(),
+        "charges": GroupedMap(
+            key=lambda r: r["charge.invoice"],
+            value=LatestBy(comparator=lambda r: v.parse_time(r["charge.day"], "epoch_seconds"), payload=lambda r: r["charge"]),
+            when=_kind("charged"),
+        ),
+        "scans": Counter(when=_kind("scanned")),
     },
 )
 
-_PROFILE = "device_profile.payload"
+
+def _booked(part: str):
+    return lambda s: s.value(f"booking.payload.{part}")
+
 
 TRANSFORMER = Transformer(
     (
         Stream(
-            name="device",
-            topic="keyfold-device-events",
-            gate=lambda s: v.negate(v.equal(s.value(_PROFILE), v.Value(v.lit(None).col.cast("variant"), "variant"))),
-            retention=Retention(182, "registered_at"),
-            key=lambda s: s.value(f"{_PROFILE}.device_id"),
+            name="parcels",
+            topic="parcel-rows",
+            gate=lambda s: v.Value(s["booking"].isNotNull(), "bool"),
+            key=_booked("parcel"),
+            retention=Retention(30, "due"),
             columns={
-                "device_id": lambda s: v.meaningful(s.value(f"{_PROFILE}.device_id")),
-                "site_id": lambda s: v.meaningful(s.value(f"{_PROFILE}.site_id")),
-                "firmware": lambda s: s.value(f"{_PROFILE}.firmware_version"),
-                "registered_at": lambda s: s.value(f"{_PROFILE}.registered_at"),
-                "event_count": lambda s: s.value("event_count"),
-                "last_sensor": lambda s: v.path(c.latest(s["reading_object"]), "sensor"),
-                "readings": lambda s: c.list_of(c.payloads(s["reading_object"])),
+                "service": lambda s: v.coalesce(_booked("service")(s), v.lit("standard")),
+                "due": _booked("due"),
+                "sender": lambda s: s.value("sender"),
+                "courier": lambda s: s.value("courier"),
+                "scans": lambda s: s.value("scans"),
+                "depots": lambda s: c.count(s["depots"]),
+                "last_depot": lambda s: v.path(c.latest(s["depots"]), "depot"),
+                "cost": lambda s: c.total(c.payloads(s["charges"]), lambda p: v.path(p, "amount")),
             },
         ),
         Stream(
-            name="reading",
-            topic="keyfold-reading-events",
-            retention=Retention(182, "recorded_at"),
-            explode="reading_object",
-            key=lambda s: s.each("payload.reading_id"),
-            common={
-                "device_id": lambda s: s.value(f"{_PROFILE}.device_id"),
-                "site_id": lambda s: s.value(f"{_PROFILE}.site_id"),
-            },
+            name="charges",
+            topic="charge-rows",
+            explode="charges",
+            key=lambda s: v.concat(s.each("payload.invoice"), v.lit("/"), s.each("payload.parcel")),
+            common={"sender": lambda s: s.value("sender")},
             each={
-                "reading_id": lambda s: v.meaningful(s.each("payload.reading_id")),
-                "sensor": lambda s: v.meaningful(s.each("payload.sensor")),
-                "value": lambda s: v.round_even(s.each("payload.value")),
-                "recorded_at": lambda s: s.each("payload.recorded_at"),
+                "amount": lambda s: s.each("payload.amount"),
+                "euros": lambda s: v.round_even(s.each("payload.amount")),
+                "day": lambda s: v.bucket(s.each("payload.day"), v.lit(86_400)),
             },
         ),
     )

@@ -167,18 +167,22 @@ def counter(spark, sf_dir):
     return state(spark, sf_dir, _schema(n=Counter(), purchases=SESSION.fields["purchases"])).select("session_key", "n", "purchases")
 
 
+def middle(rows: DataFrame) -> int:
+    """The id half way between the least and the greatest one: an aggregate with a partial step."""
+    return rows.agg(F.expr("cast((min(event_id) + max(event_id)) div 2 as bigint)")).first()[0] or 0
+
+
 def two_batches(spark: SparkSession, sf_dir: str, schema: Schema = SESSION) -> DataFrame:
     """(session_key, old, new) of the second half of the events over the state of the first."""
     rows = events(spark, sf_dir)
-    middle = rows.agg(F.expr("percentile(event_id, 0.5)").cast("bigint").alias("m"))
-    parts = rows.join(F.broadcast(middle))  # one row
-    before = fold.fold(ingest.admitted(parts.where("event_id <= m").drop("m"), schema), schema)
-    after = fold.fold(ingest.admitted(parts.where("event_id > m").drop("m"), schema), schema)
+    m = middle(rows)
+    before = fold.fold(ingest.admitted(rows.where(F.col("event_id") <= m), schema), schema)
+    after = fold.fold(ingest.admitted(rows.where(F.col("event_id") > m), schema), schema)
     return fold.merge(fold.elided(before, schema), after, schema)
 
 
 #: The first and second half of the events.
-HALVES = EV + ", mid AS (SELECT median(event_id)::DOUBLE AS m FROM ev), h1 AS (SELECT ad.* FROM ad, mid WHERE event_id <= floor(m)), h2 AS (SELECT ad.* FROM ad, mid WHERE event_id > floor(m)) "
+HALVES = EV + ", mid AS (SELECT (min(event_id) + max(event_id)) // 2 AS m FROM ev), h1 AS (SELECT ad.* FROM ad, mid WHERE event_id <= m), h2 AS (SELECT ad.* FROM ad, mid WHERE event_id > m) "
 
 
 @query(
@@ -226,7 +230,7 @@ def reduce_by_field(spark, sf_dir):
 def reduce_numbers(spark, sf_dir):
     cents, items = (lambda p: p["cents"]), F.col("items")
     return order_lines(spark, sf_dir).select(
-        "session_key", c.count(F.col("lines")).alias("n"), c.total(items, cents).alias("total"), c.least(items, cents).alias("least"), c.greatest(items, cents).alias("most"),
+        "session_key", c.count(F.col("lines")).alias("n"), c.total_long(items, cents).alias("total"), c.least(items, cents).alias("least"), c.greatest(items, cents).alias("most"),
         c.count_distinct(items, lambda p: p["l_partkey"]).alias("parts"), c.count(c.only(items, lambda p: p["l_returnflag"] == "R")).alias("returned"),
         F.array_join(F.transform(c.list_of(items), lambda p: p["cents"].cast("string")), ",").alias("listed"),
     )
@@ -368,8 +372,7 @@ def delta_explode(spark, sf_dir):
 def delta_net(spark, sf_dir):
     """Deltas of both batches add up to the rows of the final state."""
     rows, schema = events(spark, sf_dir), SESSION
-    middle = rows.agg(F.expr("percentile(event_id, 0.5)").cast("bigint").alias("m"))
-    first = fold.fold(ingest.admitted(rows.join(F.broadcast(middle)).where("event_id <= m").drop("m"), schema), schema)
+    first = fold.fold(ingest.admitted(rows.where(F.col("event_id") <= middle(rows)), schema), schema)
     nothing = fold.elided(first, schema).where("false")
     both = transition.render(fold.merge(nothing, first, schema), ENTRIES, 0).union(transition.render(two_batches(spark, sf_dir), ENTRIES, 0))
     return both.groupBy("session_key", "row_id").agg(F.sum("sign").cast("bigint").alias("net")).where("net <> 0")
@@ -397,7 +400,21 @@ def delta_lookup(spark, sf_dir):
     return transition.render(states, stream, 0, enrichment=dimension).select("session_key", "sign", "payload")
 
 
-@query()
+def _id_sql(*parts: str) -> str:
+    return "md5(" + " || ".join(f"length({p}) || ':' || {p}" for p in parts) + ")"
+
+
+_IDS = ("'users'", "'user-events'", "usr", "''", "''", "''", "''")
+
+
+@query(
+    STATES
+    + f""", p AS (SELECT *, nn >= 3 AS new_open, coalesce(on_ >= 3, false) AS old_open, (nl, nn) IS DISTINCT FROM (ol, on_) AS changed,
+    '{{"last_type":"' || nl || '","n":' || nn || ',"sign_flag":1}}' AS plus, '{{"last_type":"' || ol || '","n":' || on_ || ',"sign_flag":-1}}' AS minus FROM j),
+    legs AS (SELECT usr, 1 AS sign, '+1' AS signed, plus AS payload, plus AS anchor FROM p WHERE new_open AND (NOT old_open OR changed)
+    UNION ALL SELECT usr, -1, '-1', minus, CASE WHEN new_open THEN plus ELSE minus END FROM p WHERE old_open AND (NOT new_open OR changed))
+    SELECT usr AS session_key, sign, {_id_sql(*_IDS, "payload", "signed")} AS event_id, {_id_sql(*_IDS, "anchor")} AS correlation_id FROM legs"""
+)
 def event_ids(spark, sf_dir):
     """Ids of the deltas: one for each delta, shared correlation in a pair."""
     return transition.render(two_batches(spark, sf_dir), USERS, 0).select("session_key", "sign", "event_id", "correlation_id")
@@ -430,6 +447,22 @@ def customer_order_rows(spark, sf_dir):
     return out.select("session_key", "row_id", field("cents").cast("bigint").alias("cents"), field("last_priority").alias("last_priority"), field("n_orders").cast("bigint").alias("n_orders"))
 
 
+@query(
+    """WITH st AS (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1)
+    SELECT s_nationkey::VARCHAR AS session_key, 1 AS sign, '{"n":' || n || ',"sign_flag":1}' AS payload FROM st JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey IN (1, 3)"""
+)
+def gate_lookup(spark, sf_dir):
+    """A stream that is open only where an enrichment table says so."""
+    rows = table(spark, sf_dir, "supplier").withColumns({"user": F.col("s_nationkey").cast("string"), "seq": F.col("s_suppkey")})
+    schema = Schema("nation", 1, "nationkey", "{user}", {"nation": LastSeen(value=lambda r: r["user"]), "n": Counter()})
+    local = fold.fold(ingest.admitted(rows, schema), schema)
+    nation = table(spark, sf_dir, "nation")
+    dimension = nation.select(F.lit("open").alias("table"), F.col("n_nationkey").cast("string").alias("key"), F.when(F.col("n_regionkey").isin(1, 3), "yes").otherwise("").alias("value"))
+    stream = Stream("open", "open", columns={"n": lambda s: s.value("n")}, gate=lambda s: s.lookup("open"), lookups={"open": ("open", lambda s: s.value("nation"))})
+    states = fold.merge(fold.elided(local, schema).where("false"), local, schema)
+    return transition.render(states, stream, 0, enrichment=dimension).select("session_key", "sign", "payload")
+
+
 # ------------------------------------------------------------------ raw events, batch by batch
 
 
@@ -476,8 +509,46 @@ def raw_fold(spark, sf_dir):
     return fold.elided(local, RAW).select("session_key", v.as_long(v.Value(F.col("last.payload"), "variant")).alias("last_event"), "n")
 
 
+@query(
+    _LINES.replace("l_returnflag FROM", "l_returnflag, l_quantity::BIGINT AS q FROM")
+    + """, a AS (SELECT *, CASE l_linenumber % 4 WHEN 1 THEN q WHEN 2 THEN q WHEN 3 THEN q + 0.5 END::DOUBLE AS amount,
+    CASE l_linenumber % 4 WHEN 1 THEN '"' || q || '"' WHEN 2 THEN q::VARCHAR WHEN 3 THEN q || '.5' END AS shown FROM l)
+    SELECT l_orderkey::VARCHAR AS session_key, coalesce(sum(amount), 0)::DOUBLE AS total, count(*) FILTER (l_linenumber % 4 = 3) = 0 AS whole,
+    arg_min(shown, (amount, l_linenumber)) FILTER (amount IS NOT NULL) AS least, arg_max(shown, (amount, -l_linenumber)) FILTER (amount IS NOT NULL) AS most,
+    count(DISTINCT shown) AS kinds, arg_max(l_linenumber, (amount, -l_linenumber)) FILTER (amount IS NOT NULL) AS dearest FROM a GROUP BY l_orderkey"""
+)
+def reduce_variant(spark, sf_dir):
+    """Reducers over raw JSON payloads: numeric texts, integers and fractions in one field."""
+    at = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
+    # a text, an integer or a fraction by the line, and null for some
+    amount = F.expr("CASE l_linenumber % 4 WHEN 1 THEN concat('\"', cast(l_quantity AS bigint), '\"') WHEN 2 THEN cast(cast(l_quantity AS bigint) AS string) WHEN 3 THEN concat(cast(l_quantity AS bigint), '.5') ELSE 'null' END")
+    text = F.concat(F.lit('{"line":'), F.col("l_linenumber").cast("string"), F.lit(',"amount":'), amount, F.lit("}"))
+    rows = table(spark, sf_dir, "lineitem").withColumns({
+        "user": F.col("l_orderkey").cast("string"), "line": F.lpad(F.col("l_linenumber").cast("string"), 3, "0"), "seq": F.struct("l_linenumber", "l_partkey", "l_suppkey"), "at": at, "raw": F.try_parse_json(text),
+    })
+    slot = LatestBy(comparator=lambda r: r["at"], payload=lambda r: r["raw"])
+    schema = Schema("order", 1, "order_id", "{user}", {"lines": GroupedMap(key=lambda r: r["line"], value=slot)})
+    held = fold.elided(fold.fold(ingest.admitted(rows, schema), schema), schema)
+    items, field = F.col("items"), lambda p: v.path(p, "amount")
+    total = c.total(items, field)
+    return held.select("session_key", c.payloads(F.col("lines")).alias("items")).select(
+        "session_key",
+        v.as_double(total).alias("total"),
+        (F.schema_of_variant(total.col) == "BIGINT").alias("whole"),
+        F.to_json(c.least(items, field)).alias("least"),
+        F.to_json(c.greatest(items, field)).alias("most"),
+        c.count_distinct(items, field).alias("kinds"),
+        v.as_long(v.path(c.latest_by(items, field), "line")).alias("dearest"),
+    )
+
+
 def _scratch(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="keyfold-")
+    """A folder of its own in the shared one; a local one only where driver and executors are one process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="keyfold-")
     return f"{shared}/stream-{uuid.uuid4().hex}"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hmac
 import json
+import logging
 import os
 import tomllib
 from dataclasses import dataclass, field, fields
@@ -31,7 +32,15 @@ class Settings:
     api_key: str = ""
     enrichment_file: str = ""
     reload_secs: float = 43_200
+    output_servers: str = ""  # Kafka for deltas and dead letters; empty: Parquet below path
+    dead_topic: str = "dead-letters"
+    compact_every: int = 20
+    ttl_secs: float = 0.0  # 0: sessions are kept for good
+    http_port: int = 0  # 0: no HTTP front
+    json_logs: bool = False
     sample: float = 1.0
+    key_contains: str = ""
+    redact: list[str] = field(default_factory=lambda: list(REDACTED))
 
     @classmethod
     def load(cls, *files: str, env: dict[str, str] | None = None) -> "Settings":
@@ -41,7 +50,8 @@ class Settings:
         for f in fields(cls):
             raw = (os.environ if env is None else env).get(f"KEYFOLD__{f.name.upper()}")
             if raw is not None:
-                values[f.name] = raw.split(",") if f.name == "topics" else type(getattr(cls(), f.name))(raw)
+                kind = type(getattr(cls(), f.name))
+                values[f.name] = raw.split(",") if kind is list else raw.lower() in ("1", "true", "yes") if kind is bool else kind(raw)
         unknown = set(values) - {f.name for f in fields(cls)}
         if unknown:
             raise ValueError(f"unknown settings: {sorted(unknown)}")
@@ -83,7 +93,26 @@ def redact(payload: str, names: tuple[str, ...] = REDACTED) -> str:
     return json.dumps(clean(value), ensure_ascii=False)
 
 
-def shown(deltas: DataFrame, sample: float = 1.0, key_contains: str = "", rows: int = 20) -> list[str]:
+def shown(deltas: DataFrame, sample: float = 1.0, key_contains: str = "", rows: int = 20, names: tuple[str, ...] = REDACTED) -> list[str]:
     """A few deltas as lines for a terminal."""
     picked = deltas.where(F.contains(F.col("key"), F.lit(key_contains)) & (F.rand() < sample))
-    return [f"{r['sign']:+d} {r['topic']} {r['key']} {redact(r['payload'])}" for r in picked.limit(rows).collect()]
+    return [f"{r['sign']:+d} {r['topic']} {r['key']} {redact(r['payload'], names)}" for r in picked.limit(rows).collect()]
+
+
+class JsonLines(logging.Formatter):
+    """Log records as JSON objects, one a line; `figures` of a record are fields of their own."""
+
+    def format(self, record: logging.LogRecord) -> str:
+        held = {"at": round(record.created, 3), "level": record.levelname, "logger": record.name, "message": record.getMessage(), **getattr(record, "figures", {})}
+        if record.exc_info:
+            held["error"] = self.formatException(record.exc_info)
+        return json.dumps(held, default=str)
+
+
+def log_to_stderr(as_json: bool) -> None:
+    handler = logging.StreamHandler()
+    if as_json:
+        handler.setFormatter(JsonLines())
+    top = logging.getLogger("keyfold")
+    top.handlers, top.propagate = [handler], False
+    top.setLevel(logging.INFO)

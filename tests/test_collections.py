@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from keyfold.functions import collections as c
+from keyfold.functions import values as v
 
 SCHEMA = "id int, m map<string,struct<comparator:bigint,payload:struct<f:bigint,s:string>>>"
 
@@ -14,7 +15,7 @@ def test_reducers(spark):
     df = spark.createDataFrame(rows, SCHEMA).withColumn("items", c.payloads(F.col("m")))
     f, items = (lambda p: p["f"]), F.col("items")
     found = df.select(
-        c.latest(F.col("m"))["s"], c.first(F.col("m"))["s"], c.latest_by(items, f)["s"], c.first_by(items, f)["s"], F.size(c.list_of(items)), c.count(F.col("m")), c.total(items, f),
+        c.latest(F.col("m"))["s"], c.first(F.col("m"))["s"], c.latest_by(items, f)["s"], c.first_by(items, f)["s"], F.size(c.list_of(items)), c.count(F.col("m")), c.total_long(items, f),
         c.least(items, f), c.greatest(items, f), F.size(c.only(items, lambda p: p["s"] == "x")), c.count_distinct(items, f), c.total_double(items, f),
     ).collect()
     assert [tuple(r) for r in found] == [
@@ -22,3 +23,23 @@ def test_reducers(spark):
         (None, None, None, None, 0, 0, 0, None, None, 0, 0, 0.0),
         (None, None, None, None, 0, None, 0, None, None, 0, 0, 0.0),
     ]
+
+
+def test_reducers_over_json(spark):
+    """Numeric texts count, integers stay exact, 1 and 1.0 are one value."""
+    cases = {
+        "[1,2,3]": ("6", "1", "3", 3), '["1",2,"x",null]': ("3", '"1"', "2", 3), "[1.6,1.6]": ("3.2", "1.6", "1.6", 1), "[1,1.0,true,\"1\"]": ("3.0", "1", "1", 3),
+        "[9223372036854775807,9223372036854775807]": ("1.8446744073709552E19", "9223372036854775807", "9223372036854775807", 1), "[9223372036854775807,-1]": ("9223372036854775806", "-1", "9223372036854775807", 2),
+        "[1700000000000000001,1700000000000000002]": ("3400000000000000003", "1700000000000000001", "1700000000000000002", 2), "[]": ("0", None, None, 0), '["a"]': ("0", None, None, 1),
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string").withColumn("items", F.try_parse_json("t").try_cast("array<variant>"))
+    field = lambda p: v.Value(v.present(p), "variant")
+    items = F.col("items")
+    rows = df.select("t", F.to_json(c.total(items, field).col), F.to_json(c.least(items, field)), F.to_json(c.greatest(items, field)), c.count_distinct(items, field)).collect()
+    assert {r[0]: tuple(r[1:]) for r in rows} == cases
+    only = df.where("t LIKE '%x%'").select(F.to_json(c.only(items, lambda p: v.compare(">", field(p), v.lit(1))))).first()[0]
+    assert only == "[2]"
+    doubles = spark.createDataFrame([([1.6, 1.6],), ([2.0, None],), (None,)], "a array<double>").select(F.to_json(c.total(F.col("a"), lambda x: x).col)).collect()
+    assert [r[0] for r in doubles] == ["3.2", "2.0", "0"]
+    longs = spark.createDataFrame([([v.MOST, v.MOST],), ([v.LEAST, -5],)], "a array<bigint>").select(c.total_long(F.col("a"), lambda x: x)).collect()
+    assert [r[0] for r in longs] == [v.MOST, v.LEAST]

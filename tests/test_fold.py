@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from keyfold.functions import values as v
 from keyfold.operators import fold, ingest
-from keyfold.operators.schema import Counter, GroupedMap, LastSeen, LatestBy, Schema, WriteOnce
+from keyfold.operators.schema import Counter, GroupedMap, LastSeen, LatestBy, Schema, Strategy, WriteOnce
 
 SLOT = LatestBy(comparator=lambda r: r["c"], payload=lambda r: r["p"])
 SCHEMA = Schema("t", 1, "t", "{k}", {
@@ -40,36 +40,60 @@ def test_once_last_counter_map(spark):
     assert {k: (s["comparator"], s["payload"]) for k, s in r["m"].items()} == {"a": (3, ""), "b": (2, "a")}
 
 
-def test_merge_equals_one_fold(spark):
+def test_merge_equals_one_fold(spark, tmp_path):
     """Positive comparators: however the events are cut into batches, the state is the same."""
     rows = [(f"k{i % 3}", i % 4 != 0, str(10 + i * 7 % 11), f"p{i}", f"e{i % 2}") for i in range(24)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "seq int, k string, g boolean, c string, p string, e string")
     names = list(SCHEMA.fields)
     text = lambda d: sorted(r[0] for r in d.select(F.to_json(F.struct("session_key", *names))).collect())
+    at = iter(range(100))
     whole = fold.elided(fold.fold(ingest.admitted(df, SCHEMA), SCHEMA), SCHEMA)
     for cuts in ([0, 12, 24], [0, 3, 5, 17, 24]):
         state = whole.where("false")
         for a, b in zip(cuts[:-1], cuts[1:]):
             part = fold.fold(ingest.admitted(df.where(f"seq >= {a} AND seq < {b}"), SCHEMA), SCHEMA)
             done = fold.merge(state, part, SCHEMA).select("session_key", "new.*")
-            state = spark.createDataFrame(done.union(state.join(done, "session_key", "left_anti")).collect(), whole.schema)
+            path = f"{tmp_path}/{next(at)}"  # through Parquet, as the state table goes
+            done.union(state.join(done, "session_key", "left_anti")).write.parquet(path)
+            state = spark.read.schema(whole.schema).parquet(path)
         assert text(state) == text(whole)
 
 
 def test_counter_saturates(spark):
-    big = spark.range(1).select(fold.merge_field(Counter(), F.lit(v.MOST), F.lit(5)).alias("n"))
+    big = spark.range(1).select(Counter().merged(F.lit(v.MOST), F.lit(5)).alias("n"))
     assert big.first()["n"] == v.MOST
 
 
+def test_a_strategy_of_ones_own(spark):
+    """A field with a strategy that the library does not know: the longest text."""
+
+    class Longest(Strategy):
+        def adds(self, record):
+            return record["p"].col
+
+        def combined(self, added, seq):
+            return F.max_by(added, F.struct(F.length(added), seq))
+
+        def merged(self, stored, local):
+            return F.when(F.length(stored) > F.coalesce(F.length(local), F.lit(0)), stored).otherwise(local)
+
+    schema = Schema("t", 1, "t", "{k}", {"longest": Longest(), "m": SCHEMA.fields["m"]})
+    df = spark.createDataFrame([(i, "k", True, "1", p, "e") for i, p in enumerate(["a", "ccc", None, "bb"])], "seq int, k string, g boolean, c string, p string, e string")
+    parts = [fold.fold(ingest.admitted(df.where(w), schema), schema) for w in ("seq < 2", "seq >= 2")]
+    assert [p.first()["longest"] for p in parts] == ["ccc", "bb"]
+    assert fold.merge(fold.elided(parts[0], schema), parts[1], schema).first()["new"]["longest"] == "ccc"
+    assert fold.fold(ingest.admitted(df, schema), schema, also={"last": F.max("seq")}).first()["last"] == 3
+
+
 def test_admission_edges(spark):
-    from keyfold.plans.device import SCHEMA as device
+    from keyfold.plans.parcels import SCHEMA as parcel
 
-    base = '"log_type":"reading","site_id":"s","org_id":"public"'
+    base = '"kind":"scanned","network":"north"'
     cases = {
         "": "malformed", "{bad": "malformed", '{"a":1} x': "malformed", "5": "filtered", "[]": "filtered", "{}": "filtered",
-        f'{{{base},"device_id":"","log":{{"device_id":"d"}}}}': "filtered", f'{{{base},"device_id":7,"log":{{"device_id":"d"}}}}': "admitted", f'{{{base},"device_id":"x-undefined"}}': "filtered",
-        '{"device_id":"d","site_id":"s","org_id":"public"}': "filtered", '{"log_type":"other","device_id":"d","site_id":"s","org_id":"public"}': "filtered",
-        '{"log_type":"reading","device_id":"d","site_id":"s","org_id":"other"}': "filtered",
+        f'{{{base},"parcel":"","scan":{{"parcel":"p"}}}}': "filtered", f'{{{base},"parcel":7,"scan":{{"parcel":"p"}}}}': "admitted", f'{{{base},"parcel":"x-TEST"}}': "filtered",
+        '{"parcel":"p","network":"north"}': "filtered", '{"kind":"other","parcel":"p","network":"north"}': "filtered",
+        '{"kind":"scanned","parcel":"p","network":"west"}': "filtered",
     }
     df = ingest.parse_records(spark.createDataFrame([(k,) for k in cases], "value string"))
-    assert {r["value"]: r["tag"] for r in ingest.tag(df, device, "record").collect()} == cases
+    assert {r["value"]: r["tag"] for r in ingest.tag(df, parcel, "record").collect()} == cases

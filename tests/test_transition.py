@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from keyfold.functions import values as v
 from keyfold.operators import fold, ingest, transition
 from keyfold.operators.schema import Retention, Stream
-from keyfold.plans.device import SCHEMA, TRANSFORMER
+from keyfold.plans.parcels import SCHEMA, TRANSFORMER
 
 STATE = "struct<gate:boolean,m:map<string,struct<comparator:bigint,payload:struct<x:string,k:string,t:bigint>>>>"
 ROWS = Stream("rows", "out", explode="m", gate=lambda s: s.value("gate"), key=lambda s: s.each("payload.k"), each={"x": lambda s: s.each("payload.x")})
@@ -56,12 +56,12 @@ def test_fnv_vectors(spark):
 
 
 EVENTS = [
-    '{"log_type":"device_profile","log":{"device_id":"dev_DEMO001","site_id":"site_DEMO","org_id":"public","firmware_version":"1.0.0","registered_at":1717200000,"modified_at":"2024-06-01T00:00:00Z"}}',
-    '{"log_type":"device_profile","log":{"device_id":"dev_DEMO001","site_id":"site_DEMO","org_id":"public","firmware_version":"1.1.0","registered_at":1717200000,"modified_at":"2024-06-01T01:00:00Z"}}',
-    '{"log_type":"reading","log":{"device_id":"dev_DEMO001","site_id":"site_DEMO","org_id":"public","reading_id":"rd_A","sensor":"temp","value":21.5,"recorded_at":1717203600,"modified_at":"2024-06-01T01:00:00Z"}}',
-    '{"log_type":"status_change","log":{"device_id":"dev_DEMO001","site_id":"site_DEMO","org_id":"public","change_id":"sc_A","to":"online","modified_at":"2024-06-01T01:00:00Z"}}',
-    '{"api_flow":"ProvisionDevice","device_id":"dev_DEMO001","site_id":"site_DEMO","org_id":"public","created_at_timestamp":1717207200}',
-    '{"flow":"Reboot","device_id":"dev_DEMO001","site_id":"site_DEMO","org_id":"public","created_at_timestamp":1717210800}',
+    '{"kind":"booked","network":"north","parcel":"P-17","revision":1,"sender":"unknown","service":"slow","due":1900000000}',
+    '{"kind":"charged","charge":{"parcel":"P-17","network":"north","invoice":"i1","amount":"12","day":1899900000}}',
+    '{"kind":"scanned","scan":{"parcel":"P-17","network":"north","depot":"Kiel","courier":"c4","at":"2030-03-01T08:00:00Z"}}',
+    '{"kind":"rebooked","network":"north","parcel":"P-17","revision":2,"sender":"Ada","service":" ","due":1900000000}',
+    '{"kind":"scanned","scan":{"parcel":"P-17","network":"north","depot":"Bern","courier":"","at":"2030-03-01T06:30:00+01:00"}}',
+    '{"kind":"charged","charge":{"parcel":"P-17","network":"north","invoice":"i2","amount":2.5,"day":1899990000}}',
 ]
 
 
@@ -75,25 +75,52 @@ def test_worked_example(spark):
     nothing = fold.elided(first, SCHEMA).where("false")
     states = fold.merge(nothing, first, SCHEMA)
     new = json.loads(states.select(F.to_json("new")).first()[0])
-    assert "alert_object" not in new and new["event_count"] == 6
-    assert new["device_profile"]["comparator"] == 1717203600000000000 and new["device_profile"]["payload"]["firmware_version"] == "1.1.0"
-    assert {k: s["comparator"] for k, s in new["command_event_object"].items()} == {"1717207200": 1717207200, "1717210800": 1717210800}
-    out = {r["stream"]: r for r in transition.deltas(states, TRANSFORMER, 1717300000).collect()}
-    assert out["reading"]["payload"] == '{"device_id":"dev_DEMO001","reading_id":"rd_A","recorded_at":1717203600,"sensor":"temp","sign_flag":1,"site_id":"site_DEMO","value":22}'
-    device = json.loads(out["device"]["payload"])
-    assert list(device) == sorted(device) and (device["event_count"], device["last_sensor"], device["sign_flag"]) == (6, "temp", 1)
-
-    more = local(spark, [EVENTS[5].replace("1717210800", "1717214400")], 10)
+    assert (new["booking"]["comparator"], new["booking"]["payload"]["revision"], new["sender"], new["courier"], new["scans"]) == (2, 2, "Ada", "c4", 2)
+    assert {k: s["comparator"] for k, s in new["depots"].items()} == {"Kiel": 1898582400 * 10**9, "Bern": 1898573400 * 10**9}
+    assert {k: s["comparator"] for k, s in new["charges"].items()} == {"i1": 1899900000 * 10**9, "i2": 1899990000 * 10**9}
+    out = {(r["stream"], r["key"]): r["payload"] for r in transition.deltas(states, TRANSFORMER, 1900000000).collect()}
+    assert out == {
+        ("parcels", "P-17"): '{"cost":14.5,"courier":"c4","depots":2,"due":1900000000,"last_depot":"Kiel","scans":2,"sender":"Ada","service":"standard","sign_flag":1}',
+        ("charges", "i1/P-17"): '{"amount":"12","day":1899849600,"euros":12,"sender":"Ada","sign_flag":1}',
+        ("charges", "i2/P-17"): '{"amount":2.5,"day":1899936000,"euros":2,"sender":"Ada","sign_flag":1}',
+    }
+
+    more = local(spark, [EVENTS[1].replace('"12"', "13")], 10)  # an equal comparator: the newer event counts
     again = fold.merge(states.select("session_key", "new.*"), more, SCHEMA)
-    rows = transition.deltas(again, TRANSFORMER, 1717300000).collect()
-    assert [(r["stream"], r["sign"], json.loads(r["payload"])["event_count"]) for r in rows] == [("device", -1, 6), ("device", 1, 7)]
-    assert rows[0]["correlation_id"] == rows[1]["correlation_id"]
-    assert transition.deltas(again, TRANSFORMER, 1717200000 + 182 * 86400).count() == 0
+    rows = transition.deltas(again, TRANSFORMER, 1900000000).collect()
+    costs = [(r["stream"], r["sign"], json.loads(r["payload"]).get("cost"), json.loads(r["payload"]).get("amount")) for r in rows]
+    assert costs == [("parcels", -1, 14.5, None), ("parcels", 1, 15.5, None), ("charges", -1, None, "12"), ("charges", 1, None, 13)]
+    assert rows[0]["correlation_id"] == rows[1]["correlation_id"] != rows[2]["correlation_id"]
+    late = transition.deltas(again, TRANSFORMER, 1900000000 + 30 * 86400).collect()
+    assert {r["stream"] for r in late} == {"charges"}
     assert transition.check(SCHEMA, TRANSFORMER, again) == []
-    wrong = Stream("w", "t", explode="nothing", each={"a": lambda s: s.each("payload")})
-    assert transition.check(SCHEMA, type(TRANSFORMER)((wrong,)), again)
-    missing = Stream("w", "t", columns={"a": lambda s: s["nope"]})
-    assert len(transition.check(SCHEMA, type(TRANSFORMER)((missing, *TRANSFORMER.streams)), again)) == 1
+
+
+def test_all_findings_in_one_pass(spark):
+    first = local(spark, EVENTS)
+    states = fold.merge(fold.elided(first, SCHEMA).where("false"), first, SCHEMA)
+    wrong = Stream("w", "t", explode="nothing", each={"a": lambda s: s.each("payload")}, lookups={"x": ("sites", lambda s: s.value("sender"))})
+    missing = Stream("m", "t", columns={"a": lambda s: s["nope"], "b": lambda s: s["nay"], "c": lambda s: s.value("sender")}, gate=lambda s: s["no"] > 1)
+    found = transition.check(SCHEMA, type(TRANSFORMER)((wrong, missing, *TRANSFORMER.streams)), states)
+    assert [x.split(":")[0] for x in found] == ["[stream w] look-up x", "[stream w] explode", "[stream m] columns a", "[stream m] columns b", "[stream m] gate"]
+
+
+def test_a_projection_of_ones_own(spark):
+    """Anything with `deltas` stands beside streams."""
+
+    class Log:
+        name, topic, lookups = "log", "log-lines", {}
+
+        def problems(self):
+            return []
+
+        def deltas(self, states, now, enrichment=None):
+            return transition.render(states, Stream("log", "log-lines", sign_flag=False, columns={"seen": lambda s: s.value("scans")}), now)
+
+    first = local(spark, EVENTS)
+    states = fold.merge(fold.elided(first, SCHEMA).where("false"), first, SCHEMA)
+    rows = transition.deltas(states, type(TRANSFORMER)((Log(), *TRANSFORMER.streams)), 0).collect()
+    assert [r["payload"] for r in rows if r["topic"] == "log-lines"] == ['{"seen":2}']
 
 
 def test_row_overrides_common_unless_null(spark):
@@ -108,3 +135,24 @@ def test_lookup(spark):
     df = spark.createDataFrame([("s", None, (True, {"r": (1, ("1", "k", 0))}))], f"session_key string, old {STATE}, new {STATE}")
     assert transition.render(df, stream, 0, enrichment=dimension).first()["payload"] == '{"n":5,"sign_flag":1}'
     assert transition.check(SCHEMA, type(TRANSFORMER)((stream,)), df, dimension) != []  # m is no field of that schema
+
+
+def test_gate_reads_lookups(spark):
+    dimension = spark.createDataFrame([("on", "k", "yes"), ("on", "z", "")], "table string, key string, value string")
+    stream = Stream("g", "t", explode="m", each={"x": lambda s: s.each("payload.x"), "of": lambda s: s.lookup("entry")}, gate=lambda s: s.lookup("state"),
+                    lookups={"state": ("on", lambda s: v.lit("k")), "entry": ("on", lambda s: s.each("payload.k"))})
+    df = spark.createDataFrame([("s", None, (True, {"r": (1, ("1", "k", 0))}))], f"session_key string, old {STATE}, new {STATE}")
+    assert [r["payload"] for r in transition.render(df, stream, 0, enrichment=dimension).collect()] == ['{"of":"yes","sign_flag":1,"x":"1"}']
+    shut = Stream(**{**stream.__dict__, "lookups": {**stream.lookups, "state": ("on", lambda s: v.lit("z"))}})
+    assert transition.render(df, shut, 0, enrichment=dimension).count() == 0
+
+
+def test_fnv_of_many_rows():
+    def one(raw):
+        h = 0x6C62272E07BB014262B821756295C58D
+        for b in raw:
+            h = ((h ^ b) * 0x0000000001000000000000000000013B) % 2**128
+        return f"{h:032x}"
+
+    texts = [b"", b"a", bytes(range(256)), b"\xff" * 40, b"a"]
+    assert transition.fnv128_rows(texts) == [one(t) for t in texts] and transition.fnv128_rows([]) == []
