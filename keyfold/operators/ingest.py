@@ -79,13 +79,20 @@ def parse_records(raw: DataFrame, payload: str = "value", into: str = "record")
     """Adds the record VARIANT of a JSON payload column; null where it is malformed.
 
     Spark's parser accepts text after the first JSON value; such a payload is malformed
-    here. A document with a duplicate key is malformed too.
+    here. A document with a duplicate key is malformed too. The record comes out of a generator of one row,
+    so that a filter on what is read from it does not parse the text once more below.
     """
     text = v.trim_white(F.col(payload).cast("string"))
     # text after a whole value: what a reader of several values would take for the next one
     again = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     parsed = F.try_parse_json(text)
-    return raw.withColumn(into, F.when((text != "") & again.isNotNull() & (F.size(again.try_cast("array<variant>")) == 1), parsed))
+    whole = (text != "") & again.isNotNull() & (F.size(again.try_cast("array<variant>")) == 1)
+    return _made_once(raw.drop(into), into, F.when(whole, parsed))
+
+
+def _made_once(rows: DataFrame, name: str, c: Column) -> DataFrame:
+    """Rows with a column that later filters read instead of computing it again."""
+    return rows.select("*", F.explode(F.array(c)).alias(name))
 
 
 def tag(events: DataFrame, schema: Schema, variant: str | None = None, made: dict | None = None) -> DataFrame:
@@ -105,6 +112,10 @@ def tag(events: DataFrame, schema: Schema, variant: str | None = None, made: dic
 
 def admitted(events: DataFrame, schema: Schema, variant: str | None = None) -> DataFrame:
     """The admitted events with their `session_key`."""
-    record = Record(None, variant) if variant else Record(events.schema)
+    if variant:
+        record = Record(None, variant)
+        key = F.when(admit(schema.accept, record), session_key(schema.primary_key, record))
+        return _made_once(events.drop("session_key"), "session_key", key).where("session_key IS NOT NULL")
+    record = Record(events.schema)  # of typed columns: these filters reach the scan
     kept = events.where(admit(schema.accept, record)).withColumn("session_key", session_key(schema.primary_key, record))
     return kept.where("session_key IS NOT NULL")

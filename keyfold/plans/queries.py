@@ -552,31 +552,29 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared}/stream-{uuid.uuid4().hex}"
 
 
-@query(WELL + "SELECT usr AS session_key, arg_max(event_id, (nanos, event_id)) AS last_event, count(*) AS n, count(DISTINCT event_type) AS n_types FROM ok GROUP BY usr")
-def streaming_state(spark, sf_dir):
-    """The state after a Structured Streaming run over three files of events: the same as one fold of all."""
+def _streamed(spark: SparkSession, sf_dir: str, **more):
+    """A runner that has taken in all events, in three batches of eight files."""
     from keyfold.streaming.runner import Runner
 
     at = _scratch(spark)
     rows = raw_events(spark, sf_dir)
-    rows.repartitionByRange(3, "offset").write.parquet(f"{at}/in")
-    runner = Runner(spark, RAW, RAW_STREAMS, f"{at}/out", clock=lambda: 0.0)
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    runner.start(source).awaitTermination()
-    held = runner.state.current()
+    rows.repartitionByRange(24, "offset").write.parquet(f"{at}/in")
+    runner = Runner(spark, RAW, RAW_STREAMS, f"{at}/out", clock=lambda: 0.0, buckets=8, **more)
+    runner.start(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{at}/in")).awaitTermination()
+    return runner
+
+
+@query(WELL + "SELECT usr AS session_key, arg_max(event_id, (nanos, event_id)) AS last_event, count(*) AS n, count(DISTINCT event_type) AS n_types FROM ok GROUP BY usr")
+def streaming_state(spark, sf_dir):
+    """The state after a Structured Streaming run over batches of files of events: the same as one fold of all."""
+    held = _streamed(spark, sf_dir, compact_every=2).state.current()
     return held.select("session_key", v.as_long(v.Value(F.col("last.payload"), "variant")).alias("last_event"), "n", F.size("by_type").cast("bigint").alias("n_types"))
 
 
 @query(WELL + "SELECT usr AS session_key, event_type AS row_id, 1::BIGINT AS net, max(event_id) AS event FROM ok GROUP BY ALL")
 def streaming_deltas(spark, sf_dir):
     """Signed deltas of the same run add up to one row for each entry."""
-    from keyfold.streaming.runner import Runner
-
-    at = _scratch(spark)
-    rows = raw_events(spark, sf_dir)
-    rows.repartitionByRange(3, "offset").write.parquet(f"{at}/in")
-    runner = Runner(spark, RAW, RAW_STREAMS, f"{at}/out", clock=lambda: 0.0)
-    runner.start(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")).awaitTermination()
-    found = spark.read.parquet(f"{at}/out/deltas").where("stream = 'raw-types'")
+    runner = _streamed(spark, sf_dir)
+    found = spark.read.parquet(f"{runner.path}/deltas").where("stream = 'raw-types'")
     event = F.get_json_object("payload", "$.event").cast("bigint")
     return found.groupBy("session_key", "row_id").agg(F.sum("sign").cast("bigint").alias("net"), F.sum(F.col("sign") * event).cast("bigint").alias("event"))

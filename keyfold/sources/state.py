@@ -3,7 +3,7 @@
     {path}/parts/batch=N/bucket=B/     rows that batch N changed
     {path}/full/upto=N/bucket=B/       the latest row of every session after batch N
 
-Rows lie in BUCKETS folders by a hash of the session key. Batch n reads the last snapshot before it and the
+Rows lie in `buckets` folders by a hash of the session key (a number that stays for the life of a table). Batch n reads the last snapshot before it and the
 parts since, of the buckets that its own sessions fall into, and of these the sessions it asks
 for (their keys are broadcast up to BROADCAST_KEYS, joined by a shuffle beyond), so that its cost
 follows the batch and not the age of the stream. A replayed batch sees the same state and replaces its
@@ -19,15 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-BUCKETS = 64
 #: Most keys of a batch that are broadcast to the scan of the stored state.
 BROADCAST_KEYS = 1_000_000
 
 
-def bucket_of(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-
-
 @dataclass
 class StateTable:
     """`upcasts` has, for an older version, the columns of its rows and a function from them to rows of today's columns."""
@@ -38,8 +33,12 @@ class StateTable:
     version: int = 1
     ttl_secs: float | None = None  # sessions that no batch has changed for so long count as absent
     clock: Callable[[], float] | None = None
+    buckets: int = 64
     upcasts: dict[int, tuple[StructType, Callable[[DataFrame], DataFrame]]] = field(default_factory=dict)
 
+    def bucket_of(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
     # ------------------------------------------------------------ folders
 
     def _fs(self, path: str):
@@ -61,6 +60,8 @@ class StateTable:
 
     def _live(self, before: int) -> list[str]:
         """Folders that hold the state ahead of a batch."""
+        if self._exists(f"{self.path}/parts") and not self._exists(f"{self.path}/of-{self.buckets}"):
+            raise ValueError(f"{self.path} was written with another number of buckets")
         full = [n for n in self._numbers("full", "upto") if n < before]
         since = full[-1] if full else -1
         parts = [f"{self.path}/parts/batch={n}" for n in self._numbers("parts", "batch") if since < n < before]
@@ -80,7 +81,7 @@ class StateTable:
         folders, names = self._live(batch_id), [n for n in self.schema.names if n != "session_key"]
         buckets, small = None, False
         if keys is not None and folders:
-            found = keys.groupBy(bucket_of(F.col("session_key"))).count().collect()  # at most BUCKETS rows
+            found = keys.groupBy(self.bucket_of(F.col("session_key"))).count().collect()  # a row for each bucket
             buckets, small = [r[0] for r in found], sum(r[1] for r in found) <= BROADCAST_KEYS
 
         def wanted(rows: DataFrame, version: int) -> DataFrame:
@@ -107,7 +108,7 @@ class StateTable:
 
     def get(self, key: str) -> dict | None:
         """Point lookup of one session in its bucket: its version and state as JSON text."""
-        rows = self._rows(self._live(2**62), self.schema).where((F.col("bucket") == bucket_of(F.lit(key))) & (F.col("session_key") == key))
+        rows = self._rows(self._live(2**62), self.schema).where((F.col("bucket") == self.bucket_of(F.lit(key))) & (F.col("session_key") == key))
         if self.ttl_secs is not None:
             rows = rows.where(F.col("changed_at") >= F.lit(int((self.clock() - self.ttl_secs) * 1000)))
         shown = F.to_json(F.struct(*[n for n in self.schema.names if n != "session_key"]))
@@ -123,7 +124,9 @@ class StateTable:
         self._put(rows, f"{self.path}/parts/batch={batch_id}")
 
     def _put(self, rows: DataFrame, path: str) -> None:
-        placed = rows.withColumn("bucket", bucket_of(F.col("session_key")))
+        fs, at = self._fs(f"{self.path}/of-{self.buckets}")
+        fs.mkdirs(at)
+        placed = rows.withColumn("bucket", self.bucket_of(F.col("session_key")))
         # a task writes whole buckets, several where a bucket is large: few files
         placed.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 

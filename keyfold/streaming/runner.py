@@ -58,11 +58,12 @@ class Runner:
     sink: Sink | None = None
     state: StateTable | None = None
     compact_every: int = 20
+    buckets: int = 64
     metrics: list[dict] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         self.sink = self.sink or FileSink(self.path)
-        self.state = self.state or StateTable(self.spark, f"{self.path}/state", state_type(self.spark, self.schema), self.schema.version, clock=self.clock)
+        self.state = self.state or StateTable(self.spark, f"{self.path}/state", state_type(self.spark, self.schema), self.schema.version, clock=self.clock, buckets=self.buckets)
         self._stop, self._busy, self._made = threading.Event(), False, {}
 
     # ------------------------------------------------------------ one batch
