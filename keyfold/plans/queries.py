@@ -515,7 +515,7 @@ def raw_fold(spark, sf_dir):
     CASE l_linenumber % 4 WHEN 1 THEN '"' || q || '"' WHEN 2 THEN q::VARCHAR WHEN 3 THEN q || '.5' END AS shown FROM l)
     SELECT l_orderkey::VARCHAR AS session_key, coalesce(sum(amount), 0)::DOUBLE AS total, count(*) FILTER (l_linenumber % 4 = 3) = 0 AS whole,
     arg_min(shown, (amount, l_linenumber)) FILTER (amount IS NOT NULL) AS least, arg_max(shown, (amount, -l_linenumber)) FILTER (amount IS NOT NULL) AS most,
-    count(DISTINCT shown) AS kinds, arg_max(l_linenumber, (amount, -l_linenumber)) FILTER (amount IS NOT NULL) AS dearest FROM a GROUP BY l_orderkey"""
+    count(DISTINCT shown) AS kinds, coalesce(arg_max(l_linenumber, (amount, -l_linenumber)) FILTER (amount IS NOT NULL), 0)::BIGINT AS dearest FROM a GROUP BY l_orderkey"""
 )
 def reduce_variant(spark, sf_dir):
     """Reducers over raw JSON payloads: numeric texts, integers and fractions in one field."""
@@ -538,7 +538,7 @@ def reduce_variant(spark, sf_dir):
         F.to_json(c.least(items, field)).alias("least"),
         F.to_json(c.greatest(items, field)).alias("most"),
         c.count_distinct(items, field).alias("kinds"),
-        v.as_long(v.path(c.latest_by(items, field), "line")).alias("dearest"),
+        F.coalesce(v.as_long(v.path(c.latest_by(items, field), "line")), F.lit(0)).cast("bigint").alias("dearest"),
     )
 
 
