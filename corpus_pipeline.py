@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all documents that the stage before
 it kept; all but the last return the columns of documents. A table in the shared
 folder separates stages.
+
+Defined results: null, empty and letterless texts go with the first stage; very long texts are whole in
+every stage; near duplicates and contaminated documents go by doc_id: rows that repeat an id share its
+decision (repeated rows stay together, texts of one id go together), rows without an id stay there; other columns
+are carried along, whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
