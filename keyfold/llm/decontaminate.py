@@ -127,16 +127,29 @@ class Filter:
         return at[ok], place[ok]
 
 
+def pieces(text: str) -> Iterator[str]:
+    """An item's text in pieces of at most BLOCK windows, each window in one of them."""
+    if len(text) // 2 <= BLOCK:
+        yield text
+        return
+    data = np.frombuffer(text.encode(), np.uint8)
+    w = Words(data, np.array([0, len(data)]), _inside())
+    for k in range(0, max(len(w.start) - WINDOW + 1, min(len(w.start), 1)), BLOCK):
+        last = min(k + BLOCK + WINDOW - 1, len(w.start)) - 1
+        yield data[w.start[k] : w.end[last]].tobytes().decode()
+
+
 def blocks(benchmark: DataFrame) -> Iterator[tuple[list, list]]:
-    """The items, block by block: rows come to the driver one partition at a time."""
+    """The items, block by block: rows come to the driver one partition at a time, and a long item lies in several blocks."""
     ids, texts, windows = [], [], 0
     for row in benchmark.toLocalIterator():
-        ids.append(row[0])
-        texts.append(row[1])
-        windows += max(1, len(row[1] or "") // 2)
-        if windows >= BLOCK:
-            yield ids, texts
-            ids, texts, windows = [], [], 0
+        for text in pieces(row[1] or ""):
+            ids.append(row[0])
+            texts.append(text)
+            windows += max(1, len(text) // 2)
+            if windows >= BLOCK:
+                yield ids, texts
+                ids, texts, windows = [], [], 0
     yield ids, texts
 
 

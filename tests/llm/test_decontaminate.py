@@ -59,3 +59,14 @@ def test_repeated_and_null_ids(spark, monkeypatch, block):
     found = d.decontaminate(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), spark.createDataFrame(ITEMS, "item_id bigint, text string")).collect()
     want = [(i, *brute([(i, t)], ITEMS)[i]) for i, t in rows]
     assert sorted(map(str, ((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in found))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("words", [0, 1, 12, 13, 20, 21, 100])
+def test_pieces_hold_each_window_once(monkeypatch, words):
+    monkeypatch.setattr(d, "BLOCK", 8)
+    text = ". ".join(f"wé{i}" for i in range(words)) + " " * 20
+    held = [split(p) for p in d.pieces(text)]
+    windows = [w[k : k + 13] for w in held for k in range(max(1, len(w) - 12))]
+    whole = split(text)
+    assert windows == ([whole[k : k + 13] for k in range(max(1, words - 12))] if words else [])
+    assert all(len(w) <= 8 + 12 for w in held)
