@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +47,39 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+class Scratch:
+    """Saved tables that only one step reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def save(self, df: DataFrame) -> DataFrame:
+        """Cuts lineage with a Parquet table in the shared folder."""
+        path = f"{shared_dir(self.spark)}/keyfold-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Deletes the tables; what was made of them must be written by then."""
+        sc = self.spark.sparkContext
+        for path in self.paths:
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Tables that go when the step has ended well; after a failure they stay to be looked at."""
+    held = Scratch(spark)
+    yield held
+    held.clear()
+
+
 def save(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a Parquet table in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/keyfold-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cuts lineage with a Parquet table in the shared folder, which stays: a result reads it."""
+    return Scratch(df.sparkSession).save(df)
 
 
 def only_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
@@ -70,9 +99,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: every step is a combinable
     minimum for each node and an equi-join, so a hub is never gathered in one task.
-    A node that has no edge to another one is not returned.
+    A node that has no edge to another one is not returned. A round's table goes
+    when the next one is written.
     """
-    stars = save(
+    last = Scratch(edges.sparkSession)
+    stars = last.save(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     state = None
@@ -82,11 +113,14 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
-        stars = save(
+        following = Scratch(edges.sparkSession)
+        stars = following.save(
             joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
             .where("u <> v")
             .distinct()
         )
+        last.clear()
+        last = following
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

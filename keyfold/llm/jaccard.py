@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, components, grams, lists, mix, save, steps, table, with_ids
+from .common import Scratch, Words, components, grams, lists, mix, save, scratch, steps, table, with_ids
 
 #: Documents that one side of a block pair holds at most (in the mean).
 BLOCK = 1024
@@ -205,38 +205,46 @@ def block_links(percent: int):
     return run
 
 
-def links(documents: DataFrame, reps: DataFrame, n: int, t: Threshold) -> DataFrame:
-    """Rows (a, b) that connect what is linked, between the sets of reps (rep, doc_id, fp_a, fp_b, copies, n, head)."""
+def links(documents: DataFrame, reps: DataFrame, n: int, t: Threshold, step: Scratch) -> DataFrame:
+    """Rows (a, b) that connect what is linked, between the sets of reps (rep, doc_id, fp_a, fp_b, copies, n, head).
+
+    They read tables of `step`; what only earlier steps read is gone by then.
+    """
+    with scratch(documents.sparkSession) as early:
+        kept = step.save(rare_prefixes(documents, reps, n, t, early))
+    posted = kept.select("rep", F.explode("second").alias("token"))
+    heads = posted.groupBy("token").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("df")).where("df >= 2")
+    groups = step.save(components(posted.join(heads, "token").select(F.col("rep").alias("a"), "b").distinct()))
+    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_blocks"))
+    placed = kept.join(groups.join(sizes, "component"), kept["rep"] == F.col("node")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n_blocks")))
+    facing = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)))
+    facing = facing.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "n", "first", "second", "third", "tokens")
+    return facing.groupBy("component", "i", "j").applyInPandas(block_links(t.percent), "a bigint, b bigint")
+
+
+def rare_prefixes(documents: DataFrame, reps: DataFrame, n: int, t: Threshold, step: Scratch) -> DataFrame:
+    """Rows (rep, n, first, second, third, tokens) of the sets that may have a partner: their prefixes and the shingles they share."""
     miss = t.miss_sql("n")
     near = shared(reps, "head").groupBy("rep").agg(F.count(F.lit(1)).alias("met"))
     alive = near.join(reps.drop("head"), "rep").where(f"met >= 1 + floor({miss} / 2)").select("rep", "doc_id", "fp_a", "fp_b", "copies")
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sets = save(whole_sets(with_ids(texts, save(alive), "doc_id"), n, t))
-    once = save(sets.where("copies > 1").dropDuplicates(["rep"]))  # of repeated rows one counts
+    sets = step.save(whole_sets(with_ids(texts, step.save(alive), "doc_id"), n, t))
+    once = step.save(sets.where("copies > 1").dropDuplicates(["rep"]))  # of repeated rows one counts
     sets = sets.where("copies = 1").union(once).drop("copies")
     left, counted = sets, None
     for last in (False, True):
         common = shared(left, "tokens").groupBy("rep")
         if not last:
             left = sets.join(common.agg(F.count(F.lit(1)).alias("met")), "rep").where(f"met >= n - {miss}").select("rep", "n", "tokens")
-            left = save(left)
+            left = step.save(left)
         else:
             counted = common.agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by"))
     own = F.col("n") - F.size("by")  # shingles of its own come first in the order by rarity
-    kept = counted.join(sets, "rep").where(F.expr(f"size(by) >= n - {miss}")).select(
+    return counted.join(sets, "rep").where(F.expr(f"size(by) >= n - {miss}")).select(
         "rep", "n", "first", "third",
         F.transform("by", lambda s: s["token"]).alias("tokens"),
         F.transform(F.slice("by", F.lit(1), (F.expr(miss) + 1 - own).cast("int")), lambda s: s["token"]).alias("second"),
     )
-    kept = save(kept)
-    posted = kept.select("rep", F.explode("second").alias("token"))
-    heads = posted.groupBy("token").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("df")).where("df >= 2")
-    groups = components(posted.join(heads, "token").select(F.col("rep").alias("a"), "b").distinct())
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_blocks"))
-    placed = kept.join(groups.join(sizes, "component"), kept["rep"] == F.col("node")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n_blocks")))
-    facing = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)))
-    facing = facing.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "n", "first", "second", "third", "tokens")
-    return facing.groupBy("component", "i", "j").applyInPandas(block_links(t.percent), "a bigint, b bigint")
 
 
 def join(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -249,7 +257,8 @@ def join(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     repeated = save(some.groupBy("fp_a", "fp_b", "doc_id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
     reps = reps.join(repeated, ["fp_a", "fp_b", "doc_id"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     reps = save(reps.withColumn("rep", F.monotonically_increasing_id()))
-    found = save(components(links(documents, reps, n, t)))
+    with scratch(documents.sparkSession) as step:
+        found = save(components(links(documents, reps, n, t, step)))
     sets = reps.select("fp_a", "fp_b", "rep", "doc_id")
     named = sets.join(found, F.col("rep") == F.col("node")).groupBy("component").agg(F.min("doc_id").alias("least"))
     whole = sets.join(found.join(named, "component"), F.col("rep") == F.col("node"), "left").select("fp_a", "fp_b", F.coalesce("least", "doc_id").alias("component"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, mix, ragged, save, table
+from .common import components, mix, ragged, save, scratch, table
 
 WIDTH, SEED = 2.0, 7
 #: Chance meetings for a vector over all tables, about, and the most that a pair at the threshold is missed.
@@ -194,16 +194,17 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame
     hashes, tables = plan(most, threshold)
     named = posted(distinct, hashes, tables)
     full = named.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("n_blocks", F.ceil(F.col("size") / BLOCK))
-    full = save(full)
-    cells = (full.agg(F.sum(F.col("size") * F.col("n_blocks"))).first()[0] or 0) // CELL + 1
-    placed = named.join(full, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n_blocks")))
-    facing = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)))
-    facing = facing.select("key", "t", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep")
-    facing = facing.withColumn("cell", F.pmod(F.xxhash64("key", "i", "j"), F.lit(int(cells))))
-    kind = distinct.schema["label"].dataType.simpleString()
-    told_apart = F.to_json(F.struct("label")) if kind.startswith(("array", "struct")) else F.col("label")
-    facing = facing.join(distinct.select("rep", "many", told_apart.alias("label"), "embedding"), "rep")
-    found = save(facing.groupBy("cell").applyInArrow(compare(threshold, hashes, tables), "a bigint, b bigint, n bigint"))
+    with scratch(embeddings.sparkSession) as step:
+        full = step.save(full)
+        cells = (full.agg(F.sum(F.col("size") * F.col("n_blocks"))).first()[0] or 0) // CELL + 1
+        placed = named.join(full, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n_blocks")))
+        facing = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)))
+        facing = facing.select("key", "t", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep")
+        facing = facing.withColumn("cell", F.pmod(F.xxhash64("key", "i", "j"), F.lit(int(cells))))
+        kind = distinct.schema["label"].dataType.simpleString()
+        told_apart = F.to_json(F.struct("label")) if kind.startswith(("array", "struct")) else F.col("label")
+        facing = facing.join(distinct.select("rep", "many", told_apart.alias("label"), "embedding"), "rep")
+        found = save(facing.groupBy("cell").applyInArrow(compare(threshold, hashes, tables), "a bigint, b bigint, n bigint"))
     linked = found.groupBy("a").agg(F.sum("n").alias("others"))
     parts = components(found.select("a", "b"))
     known = distinct.join(linked, F.col("rep") == F.col("a"), "left").join(parts, F.col("rep") == F.col("node"), "left").select(
