@@ -14,7 +14,7 @@ Defined results: a null or empty text or one without a letter is `und` with scor
 whole; repeated rows each get a row (and each teaches); rows with
 a null language or id do not teach; with no usable row every text is `und`; equal votes go to the greater sum of
 margins, then to the language that comes first; other columns are
-ignored; an empty table gives no rows. A sampled row is 2**BITS 32-bit floats on the driver: 8 KB, SAMPLE of them for each language.
+ignored; an empty table gives no rows. A sampled row is 2**BITS 32-bit floats on the driver: 16 KB, SAMPLE of them for each language.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from .common import steps, table
 
 #: Rows of each language that the machines are fitted on, about.
 SAMPLE = 500
-BITS, ORDERS = 11, 4
+BITS, ORDERS = 12, 4
 #: Text bytes of one step: each byte gives up to ORDERS n-grams.
 STEP = 512 << 10
 #: Language families by ISO 639-1 code; any other language is a family of its own.
