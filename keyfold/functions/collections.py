@@ -3,13 +3,14 @@
 A collection is a grow-only map column (MAP<STRING, STRUCT<comparator BIGINT, payload>>)
 or an array of payloads. ``field`` takes a payload and gives a part of it: a Value (such as
 ``lambda p: v.path(p, "price")`` for a VARIANT payload, where numeric texts count as numbers) or a typed
-Column (``lambda p: p["price"]``). Maps are read in key order, as they are stored. Where the
+Column (``lambda p: p["price"]``). Where several reducers read one field, ``measured`` reads it once for all of them. Maps are read in key order, as they are stored. Where the
 collection is null: list and filter give [], sum and count_distinct 0, the others null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,15 +34,41 @@ def payloads(m: Column) -> Column:
     return F.transform(sorted_entries(m), lambda e: e["value"]["payload"])
 
 
-def _column(x: Column | Value) -> Column:
-    return x.col if isinstance(x, Value) else x
+@dataclass(frozen=True)
+class Measured:
+    """A field of an item of `measured`: read once, its number and its canonical text beside it."""
 
+    item: Column
 
-def _number(x: Column | Value) -> Column:
-    """STRUCT<exact BIGINT, real DOUBLE> of a value: integers and integer texts are exact, other numbers and texts real."""
+    @property
+    def col(self) -> Column:
+        return self.item["value"]
+
+
+def measured(items: Column, field: Callable[[Column], Value]) -> Column:
+    """The items as STRUCT<item, value, number>; reducers over them take `Measured` as their field and give what they give for `items` and `field` (items: `item` inside)."""
+
+    def held(p: Column, x: Value) -> Column:
+        return F.struct(p.alias("item"), x.col.alias("value"), v.measure(x).alias("number"))
+
+    def read(p: Column) -> Column:
+        x = field(p)
+        return v.bind(x.col, lambda c: held(p, Value(c, x.kind)))
+
+    return F.transform(items, read)
+
+
+def _column(x: Column | Value | Measured) -> Column:
+    return x.col if isinstance(x, Value | Measured) else x
+
+
+def _number(x: Column | Value | Measured) -> Column:
+    """STRUCT<exact BIGINT, real DOUBLE, ...> of a value: integers and integer texts are exact, other numbers and texts real."""
+    if isinstance(x, Measured):
+        return x.item["number"]
     if not isinstance(x, Value):  # a typed column of a kind that is not known here
         x = Value(x.cast("string"), "string")
-    return F.struct(v.exact_long(x).alias("exact"), v.as_double(x).alias("real"))
+    return v.measure(x) if x.kind == "variant" else F.struct(v.exact_long(x).alias("exact"), v.as_double(x).alias("real"))
 
 
 def _pick(items: Column, rank: Field, greatest: bool) -> Column:
@@ -49,17 +76,19 @@ def _pick(items: Column, rank: Field, greatest: bool) -> Column:
 
     Two integers are compared as such, so that times in nanoseconds keep their last digits.
     """
-    ranked = F.filter(F.transform(items, lambda x, i: F.struct(_number(rank(x)).alias("rank"), i.alias("i"))), lambda s: s["rank"]["real"].isNotNull())
-
-    def order(a: Column, b: Column) -> Column:
-        x, y = a["rank"], b["rank"]
+    def better(x: Column, y: Column) -> Column:
         exact = x["exact"].isNotNull() & y["exact"].isNotNull()
-        less = F.when(exact, x["exact"] < y["exact"]).otherwise(x["real"] < y["real"])
-        more = F.when(exact, x["exact"] > y["exact"]).otherwise(x["real"] > y["real"])
-        first, last = (more, less) if greatest else (less, more)
-        return F.when(first, -1).when(last, 1).when(a["i"] < b["i"], -1).when(a["i"] > b["i"], 1).otherwise(0)
+        if greatest:
+            return F.when(exact, x["exact"] > y["exact"]).otherwise(x["real"] > y["real"])
+        return F.when(exact, x["exact"] < y["exact"]).otherwise(x["real"] < y["real"])
+
+    def best(held: Column) -> Column:
+        takes = lambda a, x: x["real"].isNotNull() & (a["real"].isNull() | better(x, a))
+        return F.aggregate(held, F.get(held, F.lit(-1)), lambda a, x: F.when(takes(a["number"], x["number"]), x).otherwise(a))
 
-    return F.try_element_at(items, F.try_element_at(F.array_sort(ranked, order), F.lit(1))["i"] + 1)
+    if rank is Measured:
+        return best(items)
+    return v.bind(F.transform(items, lambda x: F.struct(_number(rank(x)).alias("number"), x.alias("item"))), best)["item"]
 
 
 def _comparator(e: Column) -> Value:
@@ -109,15 +138,17 @@ def total(items: Column, field: Field) -> Value:
     """
     numbers = F.transform(items, lambda p: _number(field(p)))
 
-    def summed(held: Column) -> Column:
-        whole = _wide_sum(held, lambda s: s["exact"])
+    def parts(held: Column) -> Column:
+        """Each part of the sum once: what follows reads them several times."""
         rest = F.aggregate(held, F.lit(0.0), lambda a, s: a + F.when(s["exact"].isNull(), F.coalesce(s["real"], F.lit(0.0))).otherwise(F.lit(0.0)))
         mixed = F.exists(held, lambda s: s["exact"].isNull() & s["real"].isNotNull())
-        fits = whole.between(v.LEAST, v.MOST)
-        exact = F.when(~mixed & fits, whole).try_cast("bigint")
-        return F.when(exact.isNotNull(), exact.cast("variant")).otherwise((whole.cast("double") + rest).cast("variant"))
+        return F.struct(_wide_sum(held, lambda s: s["exact"]).alias("whole"), rest.alias("rest"), mixed.alias("mixed"))
+
+    def summed(s: Column) -> Column:
+        exact = F.when(~s["mixed"] & s["whole"].between(v.LEAST, v.MOST), s["whole"]).try_cast("bigint")
+        return F.when(exact.isNotNull(), exact.cast("variant")).otherwise((s["whole"].cast("double") + s["rest"]).cast("variant"))
 
-    return Value(v.bind(F.coalesce(numbers, F.array()), summed), "variant")
+    return Value(v.bind(v.bind(F.coalesce(numbers, F.array()), parts), summed), "variant")
 
 
 def total_long(items: Column, field: Field) -> Column:
@@ -144,10 +175,12 @@ def _extreme(items: Column, field: Field, most: bool) -> Column:
 
     def part(p: Column) -> Column:
         x = field(p)
-        kind.append(x.kind if isinstance(x, Value) else None)
+        kind.append(x.kind if isinstance(x, Value) else "measured" if isinstance(x, Measured) else None)
         return _column(x)
 
     held = F.transform(items, part)
+    if kind[-1] == "measured":
+        return _pick(items, Measured, most)["value"]
     if kind[-1] in ("variant", "string"):
         return _pick(held, lambda c: Value(c, kind[-1]), most)
     return (F.array_max if most else F.array_min)(F.filter(held, lambda c: c.isNotNull()))
@@ -160,5 +193,5 @@ def only(items: Column, test: Field) -> Column:
 
 def count_distinct(items: Column, field: Field) -> Column:
     """Exact distinct non-null values of a field; 1 and 1.0 are one value, 1 and "1" are two."""
-    part = lambda p: v.canonical(x) if isinstance(x := field(p), Value) else x
+    part = lambda p: v.canonical(x) if isinstance(x := field(p), Value) else x.item["number"]["text"] if isinstance(x, Measured) else x
     return F.coalesce(F.size(F.array_distinct(F.filter(F.transform(items, part), lambda c: c.isNotNull()))), F.lit(0)).cast("bigint")

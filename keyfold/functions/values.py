@@ -22,8 +22,10 @@ MOST, LEAST = 2**63 - 1, -(2**63)
 UNITS = {"epoch_seconds": 1_000_000_000, "epoch_millis": 1_000_000, "epoch_micros": 1_000, "epoch_nanos": 1}
 #: Texts that stand for no value, compared without case, and one compared as it is.
 UNKNOWN, NULL_TEXT = "unknown", "null"
+NO_MEANING = rf"(?U)\A\s*({''.join(f'[{c}{c.upper()}]' for c in UNKNOWN)}|{NULL_TEXT})?\s*\z"
 RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
 LOCAL_ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"
+INTEGER_TEXT = r"\A[+-]?[0-9]{1,18}\z"
 NUMBER_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 KINDS = ("bool", "long", "double", "string", "variant")
 
@@ -158,6 +160,33 @@ def _clamped(d: Column) -> Column:
     return F.when(F.isnan(d), F.lit(0)).when(d >= float(MOST), F.lit(MOST)).when(d <= float(LEAST), F.lit(LEAST)).otherwise(d.try_cast("bigint"))
 
 
+@once
+def measure(x: Value) -> Column:
+    """STRUCT<exact BIGINT, real DOUBLE, text STRING>: `exact_long`, `as_double` and `canonical` of a value, whose type is looked up once.
+
+    A variant is read as the type that it has: asking for another one makes a cast for each value.
+    """
+    if x.kind != "variant":
+        return F.struct(exact_long(x).alias("exact"), as_double(x).alias("real"), canonical(x).alias("text"))
+
+    def held(exact: Column | None, real: Column | None, text: Column) -> Column:
+        typed = ((exact, "bigint", "exact"), (real, "double", "real"), (text, "string", "text"))
+        return F.struct(*((F.lit(None) if c is None else c).cast(kind).alias(n) for c, kind, n in typed))
+
+    def of_text(s: Column) -> Column:
+        # a plain integer needs no trimming, and its double is that of the integer
+        plain = bind(s.try_cast("bigint"), lambda n: held(n, n, F.to_json(x.col)))
+        other = bind(trim_white(s), lambda t: held(t.try_cast("bigint"), F.when(t.rlike(NUMBER_TEXT), t.try_cast("double")), F.to_json(x.col)))
+        return F.when(s.rlike(INTEGER_TEXT), plain).otherwise(other)
+
+    whole, real, text = (F.try_variant_get(x.col, "$", kind) for kind in ("bigint", "double", "string"))
+    cases = lambda t: (
+        F.when(t == "BIGINT", bind(whole, lambda n: held(n, n, n))).when(t == "STRING", bind(text, of_text))
+        .when(_number_type(t), bind(real, lambda d: held(None, d, _shown(d)))).otherwise(held(None, None, F.when(t != "VOID", F.to_json(x.col))))
+    )
+    return bind(json_type(x.col), cases)
+
+
 @once
 def as_long(x: Value) -> Column:
     """Integer view: integers, floats cut off, numeric strings; else null."""
@@ -226,15 +255,16 @@ def unequal(a: Value, b: Value) -> Value:
 def canonical(x: Value) -> Column:
     """JSON text that equal values share; whole numbers print alike as integer and float."""
     if x.kind == "variant":
-        whole = F.try_variant_get(x.col, "$", "double")
-        exact = F.when(json_type(x.col) == "BIGINT", F.to_json(x.col))
-        number = F.when((whole == F.floor(whole)) & (F.abs(whole) < 2.0**53), whole.try_cast("bigint").cast("string")).otherwise(whole.cast("string"))
-        return F.when(_is_number(x.col), F.coalesce(exact, number)).otherwise(F.to_json(present(x.col)))
+        real, other = F.try_variant_get(x.col, "$", "double"), F.when(~F.is_variant_null(x.col), F.to_json(x.col))
+        return bind(json_type(x.col), lambda t: F.when(t == "BIGINT", F.to_json(x.col)).when(_number_type(t), bind(real, _shown)).otherwise(other))
     if x.kind == "string":
         return F.when(x.col.isNotNull(), F.regexp_extract(F.to_json(F.struct(x.col.alias("a"))), r'^\{"a":(.*)\}$', 1))
-    if x.kind == "double":
-        return F.when((x.col == F.floor(x.col)) & (F.abs(x.col) < 2.0**53), x.col.try_cast("bigint").cast("string")).otherwise(x.col.cast("string"))
-    return x.col.cast("string")
+    return _shown(x.col) if x.kind == "double" else x.col.cast("string")
+
+
+def _shown(d: Column) -> Column:
+    """A double's text, a whole one's as of an integer."""
+    return F.when((d == F.floor(d)) & (F.abs(d) < 2.0**53), d.try_cast("bigint").cast("string")).otherwise(d.cast("string"))
 
 
 def compare(op: str, a: Value, b: Value) -> Value:
@@ -277,7 +307,7 @@ def meaningful(x: Value) -> Value:
     """The value unless it is null, blank, 'unknown' in any case or 'null'."""
     if x.kind not in ("string", "variant"):
         return x
-    empty = bind(trim_white(strict_text(x)), lambda t: (t == "") | (lower(Value(t, "string")).col == UNKNOWN) | (t == NULL_TEXT))
+    empty = strict_text(x).rlike(NO_MEANING)
     return Value(F.when(~F.coalesce(empty, F.lit(False)), present(x.col) if x.kind == "variant" else x.col), x.kind)
 
 

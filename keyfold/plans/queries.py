@@ -529,16 +529,19 @@ def reduce_variant(spark, sf_dir):
     slot = LatestBy(comparator=lambda r: r["at"], payload=lambda r: r["raw"])
     schema = Schema("order", 1, "order_id", "{user}", {"lines": GroupedMap(key=lambda r: r["line"], value=slot)})
     held = fold.elided(fold.fold(ingest.admitted(rows, schema), schema), schema)
-    items, field = F.col("items"), lambda p: v.path(p, "amount")
-    total = c.total(items, field)
-    return held.select("session_key", c.payloads(F.col("lines")).alias("items")).select(
+    items, field = F.col("items"), c.Measured
+    # the amounts are read once, and the sum once: each is a column of its own that the reducers after it share
+    rows = held.select("session_key", c.payloads(F.col("lines")).alias("items"))
+    rows = rows.select("session_key", c.measured(items, lambda p: v.path(p, "amount")).alias("items"))
+    rows = rows.select("session_key", "items", c.total(items, field).col.alias("sum"))
+    return rows.select(
         "session_key",
-        v.as_double(total).alias("total"),
-        (F.schema_of_variant(total.col) == "BIGINT").alias("whole"),
+        v.as_double(v.Value(F.col("sum"), "variant")).alias("total"),
+        (F.schema_of_variant("sum") == "BIGINT").alias("whole"),
         F.to_json(c.least(items, field)).alias("least"),
         F.to_json(c.greatest(items, field)).alias("most"),
         c.count_distinct(items, field).alias("kinds"),
-        F.coalesce(v.as_long(v.path(c.latest_by(items, field), "line")), F.lit(0)).cast("bigint").alias("dearest"),
+        F.coalesce(v.as_long(v.path(c.latest_by(items, field)["item"], "line")), F.lit(0)).cast("bigint").alias("dearest"),
     )
 
 

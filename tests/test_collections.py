@@ -43,3 +43,20 @@ def test_reducers_over_json(spark):
     assert [r[0] for r in doubles] == ["3.2", "2.0", "0"]
     longs = spark.createDataFrame([([v.MOST, v.MOST],), ([v.LEAST, -5],)], "a array<bigint>").select(c.total_long(F.col("a"), lambda x: x)).collect()
     assert [r[0] for r in longs] == [v.MOST, v.LEAST]
+
+
+def test_measured_fields(spark):
+    """Reducers over measured items give what they give for the items; a field is read once for all of them."""
+    cases = ['[{"a":1},{"a":"7"},{"a":" 8 "},{"a":2.5},{}]', '[{"a":9007199254740993},{"a":"9007199254740992"}]', '[{"a":3},{"a":3.0},{"a":"3"},{"a":"-0"}]', '[{"a":true},{"a":"x"},{"a":[1]},{"a":null},{"a":"1\\u2028"}]', "[]", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string").withColumn("items", F.try_parse_json("t").try_cast("array<variant>"))
+    field = lambda p: v.path(p, "a")
+
+    def reduced(items, f, whole):
+        picked = (c.least(items, f), c.greatest(items, f), whole(c.latest_by(items, f)), whole(c.first_by(items, f)))
+        return [F.to_json(x) for x in (c.total(items, f).col, *picked)] + [c.count_distinct(items, f)]
+
+    plain = df.select("i", *reduced(F.col("items"), field, lambda x: x))
+    shared = df.select("i", c.measured(F.col("items"), field).alias("items")).select("i", *reduced(F.col("items"), c.Measured, lambda x: x["item"]))
+    rows = [tuple(r) for r in shared.orderBy("i").collect()]
+    assert rows == [tuple(r) for r in plain.orderBy("i").collect()]
+    assert rows[0][1:4] == ("18.5", "1", '" 8 "') and rows[1][1:4] == ("18014398509481985", '"9007199254740992"', "9007199254740993") and rows[3][1:4] == ("1", '"1 "', '"1 "')
