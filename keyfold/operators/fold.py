@@ -3,8 +3,9 @@
 An event becomes one row for the plain fields and one for each map entry that it touches. Rows are
 aggregated by (session, field, entry), with a partial step before the shuffle, so that a hot session
 is combined where it is read and spreads over its entries; a second aggregate gathers a
-session's fields, which are the size of the state itself. The input is read once. Without
-map fields one aggregate by session does.
+session's fields, which are the size of the state itself. They are dealt out by session as plain rows: an entry
+is one row by then, so that a partial step would only pack and sort it. The input is read once. A single map field and
+nothing else takes one row for each event. Without map fields one aggregate by session does.
 
 Arrival order is the column `seq` (anything orderable, unique in a session).
 """
@@ -51,15 +52,18 @@ def fold(events: DataFrame, schema: Schema, variant: str | None = None, also: di
         return F.struct(F.lit(name).cast("string").alias("field"), at("entry").cast("string").alias("entry"), at("comparator").cast("bigint").alias("comparator"), *held)
 
     own = [n for n in schema.fields if n not in maps]
-    slots = once(made, "slots", lambda: F.inline(F.array(slot(None), *map(slot, maps))))
-    rows = each.select("session_key", "seq", *own, slots).where("field IS NULL OR entry IS NOT NULL")
-    rows = rows.withColumns(once(made, "own", lambda: {n: F.when(F.col("field").isNull(), F.col(n)) for n in own}))
-    best = once(made, "best", lambda: [F.max_by(F.struct("comparator", F.col(p).alias("payload")), F.struct("comparator", "seq")).alias(p) for p in payloads.values()])
-    parts = rows.groupBy("session_key", "field", "entry").agg(*aggregates, *best)
+    if len(maps) == 1 and not plain:  # an event without an entry still makes its session known
+        rows = each.select("session_key", "seq", F.lit(maps[0]).alias("field"), *(F.col(f"{maps[0]}.{c}").alias(n) for c, n in (("entry", "entry"), ("comparator", "comparator"), ("payload", "payload_0"))))
+    else:
+        slots = once(made, "slots", lambda: F.inline(F.array(slot(None), *map(slot, maps))))
+        rows = each.select("session_key", "seq", *own, slots).where("field IS NULL OR entry IS NOT NULL")
+        rows = rows.withColumns(once(made, "own", lambda: {n: F.when(F.col("field").isNull(), F.col(n)) for n in own}))
+    best = once(made, "best", lambda: [F.max("comparator").alias("comparator"), *(F.max_by(p, F.struct("comparator", "seq")).alias(p) for p in payloads.values())])
+    parts = rows.groupBy("session_key", "field", "entry").agg(*aggregates, *best).repartition("session_key")
 
     def collected(name: str) -> Column:
-        entry = F.struct(F.col("entry").alias("key"), F.col(payloads[kinds[name]]).alias("value"))
-        return schema.fields[name].collected(F.when(F.col("field") == name, entry)).alias(name)
+        entry = F.struct(F.col("entry").alias("key"), F.struct("comparator", F.col(payloads[kinds[name]]).alias("payload")).alias("value"))
+        return schema.fields[name].collected(F.when((F.col("field") == name) & F.col("entry").isNotNull(), entry)).alias(name)
 
     one = [F.first(F.when(F.col("field").isNull(), F.struct(*plain)), ignorenulls=True).alias("plain")] if plain else []
     out = parts.groupBy("session_key").agg(*one, *once(made, "maps", lambda: [collected(n) for n in maps]))

@@ -97,3 +97,16 @@ def test_admission_edges(spark):
     }
     df = ingest.parse_records(spark.createDataFrame([(k,) for k in cases], "value string"))
     assert {r["value"]: r["tag"] for r in ingest.tag(df, parcel, "record").collect()} == cases
+
+
+def test_single_map_takes_one_row_an_event(spark):
+    """A schema of one map makes no second row of an event for plain fields that it does not have; entries are gathered without a partial step."""
+    schema = Schema("t", 1, "t", "{k}", {"m": SCHEMA.fields["m"]})
+    rows = [("a", True, "1", "x", "e"), ("a", True, "2", "y", "e"), ("a", True, "2", None, "f"), ("b", False, "1", "x", "e"), ("c", True, "zz", None, "e"), ("c", True, "1", "x", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "seq int, k string, g boolean, c string, p string, e string")
+    out = fold.fold(ingest.admitted(df, schema), schema)
+    found = {r["session_key"]: r["m"] and {k: tuple(s) for k, s in r["m"].items()} for r in out.collect()}
+    assert found == {"a": {"e": (2, "y"), "f": (2, None)}, "b": None, "c": {"e": (0, None)}}
+    plan = out._jdf.queryExecution().executedPlan().toString().rpartition("Initial Plan")[2]
+    assert "Generate" not in plan and plan.count("partial_collect_list") == 1
+    assert plan.index("partial_collect_list") < plan.index("REPARTITION_BY_COL")  # a plan prints what reads first
