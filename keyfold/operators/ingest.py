@@ -83,11 +83,15 @@ def parse_records(raw: DataFrame, payload: str = "value", into: str = "record")
     so that a filter on what is read from it does not parse the text once more below.
     """
     text = v.trim_white(F.col(payload).cast("string"))
-    # text after a whole value: what a reader of several values would take for the next one
-    again = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    parsed = F.try_parse_json(text)
-    whole = (text != "") & again.isNotNull() & (F.size(again.try_cast("array<variant>")) == 1)
-    return _made_once(raw.drop(into), into, F.when(whole, parsed))
+    # parsed once, as the first of two values in brackets; the second one, which no text can know, stands where the text has ended its value and the brackets have not
+    last = F.xxhash64(payload)
+    values = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), last.cast("string"), F.lit("]"))).try_cast("array<variant>")
+
+    def first(held: Column) -> Column:
+        closed = (F.size(held) == 2) & (F.try_variant_get(F.get(held, F.lit(1)), "$", "bigint") == last)
+        return F.when(closed, F.get(held, F.lit(0)))
+
+    return _made_once(raw.drop(into), into, v.bind(values, first))
 
 
 def _made_once(rows: DataFrame, name: str, c: Column) -> DataFrame:

@@ -545,6 +545,10 @@ def reduce_variant(spark, sf_dir):
     )
 
 
+#: Bytes of a row group of the streamed files.
+ROW_GROUP = 4 << 20
+
+
 def _scratch(spark: SparkSession) -> str:
     """A folder of its own in the shared one; a local one only where driver and executors are one process."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -561,7 +565,8 @@ def _streamed(spark: SparkSession, sf_dir: str, **more):
 
     at = _scratch(spark)
     rows = raw_events(spark, sf_dir)
-    rows.repartitionByRange(24, "offset").write.parquet(f"{at}/in")
+    # small row groups: as many tasks as there are cores share a large file, not one task a file
+    rows.repartitionByRange(24, "offset").write.option("parquet.block.size", str(ROW_GROUP)).parquet(f"{at}/in")
     runner = Runner(spark, RAW, RAW_STREAMS, f"{at}/out", clock=lambda: 0.0, buckets=8, **more)
     runner.start(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{at}/in")).awaitTermination()
     return runner

@@ -110,3 +110,11 @@ def test_single_map_takes_one_row_an_event(spark):
     plan = out._jdf.queryExecution().executedPlan().toString().rpartition("Initial Plan")[2]
     assert "Generate" not in plan and plan.count("partial_collect_list") == 1
     assert plan.index("partial_collect_list") < plan.index("REPARTITION_BY_COL")  # a plan prints what reads first
+
+
+def test_text_after_a_value_is_malformed(spark):
+    """Whatever closes the brackets that a record is parsed in; the text is parsed once."""
+    texts = {'{"a":1}': '{"a":1}', '{"a":1}]': None, "1] [2": None, "1,0] [": None, "1],[2": None, "1,2": None, " \t[1]\n": "[1]", "": None, '{"a":{"b":[1,2.5,"z",null]}}': '{"a":{"b":[1,2.5,"z",null]}}'}
+    df = ingest.parse_records(spark.createDataFrame([(t,) for t in texts], "value string"))
+    assert {r[0]: r[1] for r in df.select("value", F.to_json("record")).collect()} == texts
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
