@@ -9,13 +9,15 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step holds at a time (a longer text is its own step).
 STEP_BYTES = 2 << 20
 #: Most ids that are broadcast for a semi join; beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
+#: Most parts of ids that are joined one after the other, each broadcast, before rows are shuffled.
+PARTS = 8
 
 
 #: Rows of an Arrow batch, where the session has Spark's default: whole texts may be long.
@@ -94,6 +96,16 @@ def with_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small else ids, on)
 
 
+def parts(ids: DataFrame, on: str) -> list[Column]:
+    """Conditions that deal ids out, so that each part can be broadcast: another scan for each instead of a shuffle of whole rows.
+
+    Beyond PARTS there is one part, which is shuffled.
+    """
+    n = 1 + int(ids.count() / (0.9 * BROADCAST_IDS))  # parts by a hash are not quite even
+    n = n if n <= PARTS else 1
+    return [F.pmod(F.xxhash64(on), F.lit(n)) == k for k in range(n)]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), smallest id first.
 

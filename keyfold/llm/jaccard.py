@@ -7,8 +7,10 @@ among those of y. A pair must share a prefix shingle under each of three orders:
 
 * order 1, by hash: shingles ``miss + 1 + miss / 2`` deep are counted over all
   documents; a document of which too few are met anywhere else has no partner;
+* a share of all shingles, the same for every document: a document drops out of
+  which more than ``miss`` of these are its own, so that few whole sets are moved;
 * order 2, by rarity: for what is left all shingles are counted; a document with
-  more than ``miss`` shingles of its own drops out (twice, as counts fall), the others
+  more than ``miss`` shingles of its own drops out, the others
   are joined on the prefixes of this order. Documents joined so, directly or
   through others, form a group;
 * order 3, by a second hash: inside a group (of near copies, mostly, since its documents share rare shingles), blocks of at most BLOCK documents meet
@@ -29,6 +31,7 @@ null doc_id keeps a row and links with nothing; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, components, grams, lists, mix, save, scratch, steps, table, with_ids
+from .common import Scratch, Words, components, grams, lists, mix, only_ids, parts, save, scratch, steps, table, with_ids
 
 #: Documents that one side of a block pair holds at most (in the mean).
 BLOCK = 1024
@@ -73,6 +76,10 @@ class Threshold:
     def miss_sql(self, n: str) -> str:
         return f"cast(floor({n} * {100 - self.percent} / 100) as bigint)"
 
+    def share(self) -> int:
+        """Hundredths of all shingles that are counted before whole sets are: of these two in three must be met."""
+        return min(100, 3 * (100 - self.percent))
+
 
 def summaries(documents: DataFrame, n: int, t: Threshold) -> DataFrame:
     """Rows (doc_id, n, fp_a, fp_b, head): set size, fingerprint, first shingles of order 1."""
@@ -222,25 +229,36 @@ def links(documents: DataFrame, reps: DataFrame, n: int, t: Threshold, step: Scr
     return facing.groupBy("component", "i", "j").applyInPandas(block_links(t.percent), "a bigint, b bigint")
 
 
+def met_in_share(sets: DataFrame, t: Threshold) -> DataFrame:
+    """Rows (rep) of the sets that may have a partner, by the shingles that fall into the share.
+
+    A shingle falls into it for all sets or for none, so that a set with a partner lacks at most ``miss`` of its own there.
+    """
+    part = sets.select("rep", "n", F.filter("tokens", lambda s: F.pmod(s, F.lit(100)) < t.share()).alias("part"))
+    met = shared(part, "part").groupBy("rep").agg(F.count(F.lit(1)).alias("met"))
+    tried = part.select("rep", "n", F.size("part").alias("tried"))
+    return tried.join(met, "rep", "left").where(f"coalesce(met, 0) >= tried - {t.miss_sql('n')}").select("rep")
+
+
 def rare_prefixes(documents: DataFrame, reps: DataFrame, n: int, t: Threshold, step: Scratch) -> DataFrame:
     """Rows (rep, n, first, second, third, tokens) of the sets that may have a partner: their prefixes and the shingles they share."""
     miss = t.miss_sql("n")
     near = shared(reps, "head").groupBy("rep").agg(F.count(F.lit(1)).alias("met"))
     alive = near.join(reps.drop("head"), "rep").where(f"met >= 1 + floor({miss} / 2)").select("rep", "doc_id", "fp_a", "fp_b", "copies")
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sets = step.save(whole_sets(with_ids(texts, step.save(alive), "doc_id"), n, t))
-    once = step.save(sets.where("copies > 1").dropDuplicates(["rep"]))  # of repeated rows one counts
-    sets = sets.where("copies = 1").union(once).drop("copies")
-    left, counted = sets, None
-    for last in (False, True):
-        common = shared(left, "tokens").groupBy("rep")
-        if not last:
-            left = sets.join(common.agg(F.count(F.lit(1)).alias("met")), "rep").where(f"met >= n - {miss}").select("rep", "n", "tokens")
-            left = step.save(left)
-        else:
-            counted = common.agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by"))
+    with scratch(documents.sparkSession) as early:
+        alive = early.save(alive)
+        cuts = parts(alive, "rep")
+        sets = []
+        for cut in cuts:
+            found = early.save(whole_sets(with_ids(texts, alive.where(cut), "doc_id"), n, t))
+            once = early.save(found.where("copies > 1").dropDuplicates(["rep"]))  # of repeated rows one counts
+            sets.append(found.where("copies = 1").union(once).drop("copies"))
+        ids = early.save(met_in_share(reduce(DataFrame.union, sets), t))
+        left = reduce(DataFrame.union, [step.save(only_ids(found, ids.where(cut), "rep")) for found, cut in zip(sets, cuts, strict=True)])
+    counted = shared(left, "tokens").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by"))
     own = F.col("n") - F.size("by")  # shingles of its own come first in the order by rarity
-    return counted.join(sets, "rep").where(F.expr(f"size(by) >= n - {miss}")).select(
+    return counted.join(left.drop("tokens"), "rep").where(F.expr(f"size(by) >= n - {miss}")).select(
         "rep", "n", "first", "third",
         F.transform("by", lambda s: s["token"]).alias("tokens"),
         F.transform(F.slice("by", F.lit(1), (F.expr(miss) + 1 - own).cast("int")), lambda s: s["token"]).alias("second"),

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from keyfold.llm import jaccard
+from keyfold.llm import common, jaccard
 
 
 def shingles(text, n):
@@ -89,3 +89,40 @@ def test_every_row_twice(spark):
     want = {i: (n, c) for i, (n, c) in brute(docs, 5, 80).items()} | {50: (56, 31), 51: (57, 31)}
     assert {c for i, (_, c) in want.items() if i < 50} == {i for i in docs if i < 50}
     assert found == sorted(2 * [*((str(i), n, c) for i, (n, c) in want.items()), ("31", 58, 31), ("None", 1, None)])
+
+
+def halves(count=60, words=120):
+    """Half of every text is common to all, so that none has a partner but the last two of them, which are near copies."""
+    part = lambda tag: [f"{tag}{i}" for i in range(words)]
+    docs = {k: " ".join(part("s") + part(f"o{k}_")) for k in range(count)}
+    return docs | {count: docs[count - 1] + " behind"}
+
+
+@pytest.mark.parametrize("percent", [90, 80])
+def test_few_whole_sets_are_counted(spark, monkeypatch, percent):
+    """Of documents that share a passage only, no whole set is shuffled for its counts."""
+    docs, moved, shared = halves(), [], jaccard.shared
+
+    def counted(rows, tokens):
+        moved.append(rows.select(F.coalesce(F.sum(F.size(tokens)), F.lit(0))).first()[0])
+        return shared(rows, tokens)
+
+    monkeypatch.setattr(jaccard, "shared", counted)
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(3)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df, 3, percent).collect()}
+    want = brute(docs, 3, percent)
+    assert found == want and want[60][1] == 59
+    assert sum(moved) < sum(n for n, _ in want.values())
+
+
+@pytest.mark.parametrize(("most", "n", "percent"), [(20, 3, 90), (20, 5, 80), (3, 3, 90)])
+def test_ids_beyond_one_broadcast(spark, monkeypatch, most, n, percent):
+    """Parts of ids that are broadcast in turn, and (3) more of them than are allowed."""
+    monkeypatch.setattr(common, "BROADCAST_IDS", most)
+    docs = corpus()
+    df = spark.createDataFrame(2 * list(docs.items()), "doc_id bigint, text string").repartition(3)
+    seen, parts = [], jaccard.parts
+    monkeypatch.setattr(jaccard, "parts", lambda *a: seen.append(parts(*a)) or seen[-1])
+    found = [(r["doc_id"], (r["n_shingles"], r["component_id"])) for r in jaccard.join(df, n, percent).collect()]
+    assert dict(found) == brute(docs, n, percent) and len(found) == 2 * len(docs)
+    assert len(seen[0]) == 1 if most == 3 else len(seen[0]) > 1
